@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .op1_wavelet import op1_wavelet
+from .op3_packing import op3_packing
 from .op6_matroska import op6_matroska
 from .op7_sharding import op7_sharding
 
 QUERIES = {
+    "op1_wavelet": op1_wavelet,
+    "op3_packing": op3_packing,
     "op6_matroska": op6_matroska,
     "op7_sharding": op7_sharding,
 }
