@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .op1_wavelet import op1_wavelet
+from .op2_substring import op2_substring
 from .op3_packing import op3_packing
+from .op4_language import op4_language
+from .op5_quality import op5_quality
 from .op6_matroska import op6_matroska
 from .op7_sharding import op7_sharding
 
 QUERIES = {
     "op1_wavelet": op1_wavelet,
+    "op2_substring": op2_substring,
     "op3_packing": op3_packing,
+    "op4_language": op4_language,
+    "op5_quality": op5_quality,
     "op6_matroska": op6_matroska,
     "op7_sharding": op7_sharding,
 }
