@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op10_suffix import op10_suffix
 from .op1_wavelet import op1_wavelet
 from .op2_substring import op2_substring
 from .op3_packing import op3_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_matroska": op6_matroska,
     "op7_sharding": op7_sharding,
+    "op10_suffix": op10_suffix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
