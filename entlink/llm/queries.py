@@ -10,6 +10,7 @@ from .op4_language import op4_language
 from .op5_quality import op5_quality
 from .op6_matroska import op6_matroska
 from .op7_sharding import op7_sharding
+from .op9_bagminhash import op9_bagminhash
 
 QUERIES = {
     "op1_wavelet": op1_wavelet,
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_matroska": op6_matroska,
     "op7_sharding": op7_sharding,
+    "op9_bagminhash": op9_bagminhash,
     "op10_suffix": op10_suffix,
 }
 
