@@ -10,6 +10,8 @@ from .op4_language import op4_language
 from .op5_quality import op5_quality
 from .op6_matroska import op6_matroska
 from .op7_sharding import op7_sharding
+from .op8_templates import ORACLE_SQL as op8_sql
+from .op8_templates import op8_templates
 from .op9_bagminhash import op9_bagminhash
 
 QUERIES = {
@@ -20,8 +22,11 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_matroska": op6_matroska,
     "op7_sharding": op7_sharding,
+    "op8_templates": op8_templates,
     "op9_bagminhash": op9_bagminhash,
     "op10_suffix": op10_suffix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_templates": op8_sql,
+}
