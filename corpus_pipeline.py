@@ -1,8 +1,82 @@
-"""The corpus pipeline (under construction)."""
+"""The corpus pipeline: language, near-duplicates, repeated bytes, benchmark items, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of ``documents``. ``run`` writes each stage's result to the shared folder and reads it back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from entlink.llm.common import stage, table
+from entlink.llm.op3_packing import pack_documents
+from entlink.llm.op4_language import UNKNOWN, fit_language_model, identify_language
+from entlink.llm.op8_templates import contaminated
+from entlink.llm.op9_bagminhash import near_duplicate_classes
+from entlink.llm.op10_suffix import remove_repeated_bytes
+
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language is known with a probability of at least 0.5.
+
+    Null, empty and letterless texts are rejected. If no document tells its language, nothing can
+    be learnt and every document is rejected.
+    """
+    scored = identify_language(docs, fit_language_model(docs))
+    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of near-duplicates, the one with the least id.
+
+    Of rows that repeat an id the one with the least text stays.
+    """
+    classes = near_duplicate_classes(docs)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    chosen = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
+    return chosen.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns])
+
+
+def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut strings of 50 bytes that start in an earlier document too; ``n_chars`` follows the text.
+
+    Every document stays, even one of which nothing is left. Ids must be unique, as they are here.
+    """
+    cut = remove_repeated_bytes(docs).select(F.col("doc_id").alias("cut_id"), "kept_text")
+    facts = docs.drop("text", "n_chars")
+    joined = facts.join(cut, facts["doc_id"].eqNullSafe(cut["cut_id"]))
+    return joined.select(*[F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item as a template."""
+    held = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("held")).distinct()
+    return docs.join(held, docs["doc_id"].eqNullSafe(held["held"]), "left_anti")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of at most 2048 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_bytes", repeated_bytes),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: Language models, classes and tokenization have no SQL form; a test compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
