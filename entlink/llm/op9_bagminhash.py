@@ -28,7 +28,9 @@ from .common import need, stage, table
 from .graph import components
 
 WORDS, SIMILARITY = 5, 0.8
+BROADCAST_IDS = 2_000_000  # ids (8 bytes each) that are broadcast at most; more are joined by a shuffle
 BANDS, ROWS = 25, 5  # at a similarity of 0.8 a pair is missed by all bands once in 20 000
+SLICE = 250  # texts that are worked on at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,8 +117,8 @@ def bands(times: np.ndarray, count: int, rows: int) -> np.ndarray:
 def _sketch(words: int, count: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 owner, values, plain = shingles(part.column(1).to_pylist(), words)
                 n = part.num_rows
                 keys = bands(signatures(owner, values, n, count * rows), count, rows)
@@ -133,8 +135,8 @@ def _elements_and_times(words: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 owner, values, _ = shingles(part.column(1).to_pylist(), words)
                 times = R.mixed(signatures(owner, values, part.num_rows, size).view(np.uint64)).astype(np.uint32)
                 values = R.mixed(values + occurrences(owner, values).astype(np.uint64) * _ODD)
@@ -168,21 +170,51 @@ def _verify(similarity: float):
     return run
 
 
-def _compare(similarity: float, count: int, rows: int):
-    """Within a bucket: links between members of different classes, of which one is a query.
+class _Bucket:
+    """Members of a bucket that meet: which pairs of different classes are likely enough to be compared.
 
-    A pair is looked at in the first band that both share. Its similarity is first estimated from
-    the signatures; below the estimate a pair of the asked similarity falls once in ten thousand.
+    A pair is looked at in the first band that both share. Its similarity is estimated from the
+    signatures; a pair of the asked similarity falls below the estimate once in ten thousand.
     """
-    size = count * rows
-    least = similarity - 3.7 * np.sqrt(similarity * (1 - similarity) / size)
+
+    def __init__(self, part: pa.Table, similarity: float, count: int, rows: int):
+        self.ids, self.classes, self.query, self.member = (np.array(part.column(c).to_pylist()) for c in ("id", "class_id", "query", "member"))
+        self.times = np.array([np.frombuffer(x, np.uint32) for x in part.column("times").to_pylist()])
+        self.band = part.column("band")[0].as_py()
+        self.count, self.rows = count, rows
+        self.least = similarity - 3.7 * np.sqrt(similarity * (1 - similarity) / (count * rows))
+
+    def likely(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each query with the members to compare it with."""
+        others = np.flatnonzero(self.member)
+        for i in np.flatnonzero(self.query).tolist():
+            far = others[self.classes[others] != self.classes[i]]
+            same = self.times[far] == self.times[i]
+            shared = same.reshape(len(far), self.count, self.rows).all(2)
+            yield i, far[(same.mean(1) >= self.least) & (shared.argmax(1) == self.band) & shared.any(1)] if len(far) else far
+
+
+_MEETING = ("key", "block", "side", "id", "class_id", "query", "member", "band")
+
+
+def _survivors(similarity: float, count: int, rows: int):
+    """The rows of a bucket that have somebody to be compared with."""
+
+    def run(part: pa.Table) -> pa.Table:
+        keep = np.zeros(part.num_rows, bool)
+        for i, far in _Bucket(part, similarity, count, rows).likely():
+            keep[far] = True
+            keep[i] |= len(far) > 0
+        return part.select(_MEETING).filter(pa.array(keep))
+
+    return run
+
+
+def _compare(similarity: float, count: int, rows: int):
+    """Links between different classes of a bucket, but for those that follow from links found before."""
 
     def run(part: pa.Table) -> pa.Table:
-        names = ("id", "class_id", "query", "member")
-        ids, classes, query, member = (np.array(part.column(c).to_pylist()) for c in names)
-        times = np.array([np.frombuffer(x, np.uint32) for x in part.column("times").to_pylist()])
-        elements = part.column("elements").to_pylist()
-        band = part.column("band")[0].as_py()
+        bucket, elements = _Bucket(part, similarity, count, rows), part.column("elements").to_pylist()
         links: list[tuple[int, int]] = []
         parent: dict[int, int] = {}
 
@@ -191,18 +223,11 @@ def _compare(similarity: float, count: int, rows: int):
                 c = up
             return c
 
-        others = np.flatnonzero(member)
-        for i in np.flatnonzero(query).tolist():
-            far = others[classes[others] != classes[i]]
-            if not len(far):
-                continue
-            same = times[far] == times[i]
-            shared = same.reshape(len(far), count, rows).all(2)
-            good = np.flatnonzero((same.mean(1) >= least) & (shared.argmax(1) == band) & shared.any(1))
-            for j in far[good].tolist():
-                a, b = root(classes[i].item()), root(classes[j].item())
+        for i, far in bucket.likely():
+            for j in far.tolist():
+                a, b = root(bucket.classes[i].item()), root(bucket.classes[j].item())
                 if a != b and overlap(elements[i], elements[j]) >= similarity:
-                    links.append((int(ids[i]), int(ids[j])))
+                    links.append((int(bucket.ids[i]), int(bucket.ids[j])))
                     parent[a] = b
         return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["x", "y"])
 
@@ -210,7 +235,7 @@ def _compare(similarity: float, count: int, rows: int):
 
 
 def near_duplicate_classes(
-    docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, count: int = BANDS, rows: int = ROWS, chunk: int = 2000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, count: int = BANDS, rows: int = ROWS, chunk: int = 1000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id`` and ``class_id`` of every row: classes are the connected components of all links.
 
@@ -227,6 +252,8 @@ def near_duplicate_classes(
     members = stage(members.join(leaders, "key"), "members")
     pairs = stage(members.where("rep <> x").select("x", F.col("rep").alias("y")).distinct(), "pairs")
     involved = members.select(F.col("rep").alias("id")).distinct()
+    if involved.count() <= BROADCAST_IDS:
+        involved = F.broadcast(involved)
     elements = stage(source.join(involved, "id", "left_semi").mapInArrow(_elements_and_times(words, count * rows), "id long, elements binary, times binary"), "elements")
 
     one = elements.select(F.col("id").alias("x"), F.col("elements").alias("a"))
@@ -246,7 +273,10 @@ def near_duplicate_classes(
     numbers = copies.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
     bands_of = numbers.join(mixed.select("key"), "key", "left_semi").groupBy("key").agg(F.min("band").alias("band"))
     meeting = as_member.unionByName(as_query).groupBy("key", "id", "class_id", "block", "side").agg(F.max("query").alias("query"), F.max("member").alias("member"))
-    more = meeting.join(bands_of, "key").join(elements, "id").groupBy("key", "block", "side").applyInArrow(_compare(similarity, count, rows), "x long, y long")
+    told = meeting.join(bands_of, "key").join(elements.select("id", "times"), "id")
+    schema = "key long, block long, side long, id long, class_id long, query boolean, member boolean, band int"
+    likely = stage(told.groupBy("key", "block", "side").applyInArrow(_survivors(similarity, count, rows), schema), "likely")
+    more = likely.join(elements, "id").groupBy("key", "block", "side").applyInArrow(_compare(similarity, count, rows), "x long, y long")
 
     classes = components(links.unionByName(stage(more, "links")))
     named = copies.select("print", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("class_id", "rep").alias("class_id"))
