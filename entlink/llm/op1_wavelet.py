@@ -46,15 +46,15 @@ class WaveletMatrix:
             alphabet, codes = np.unique(ids, return_inverse=True)
         zeros, planes, ranks = [], [], []
         for k in reversed(range(max(1, len(alphabet) - 1).bit_length())):
-            bits = (codes >> k) & 1
-            ones = np.flatnonzero(bits)
-            packed = np.packbits(bits.astype(np.uint8), bitorder="little")
+            bits = (codes & codes.dtype.type(1 << k)) != 0
+            ones = codes.compress(bits)
+            packed = np.packbits(bits, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % (_BLOCK // 8), np.uint8)])
             per_block = _POPCOUNT[packed].reshape(-1, _BLOCK // 8).sum(1, dtype=np.uint32)
             zeros.append(len(ids) - len(ones))
             planes.append(packed)
             ranks.append(np.concatenate([[0], np.cumsum(per_block)]).astype("<u4"))
-            codes = np.concatenate([codes[np.flatnonzero(bits == 0)], codes[ones]])
+            codes = np.concatenate([codes.compress(~bits), ones])
         return cls(len(ids), alphabet.astype("<u4"), zeros, planes, ranks)
 
     def to_bytes(self) -> bytes:
@@ -143,10 +143,10 @@ class WaveletMatrix:
         """All ids: from the lowest plane up, the stable sort of each plane is undone."""
         codes = np.zeros(self.n, np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
         for level in reversed(range(len(self.planes))):
-            bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little")
+            bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             before = np.empty_like(codes)
-            before[np.flatnonzero(bits == 0)] = codes[: self.zeros[level]]
-            before[np.flatnonzero(bits)] = codes[self.zeros[level] :] | (1 << (len(self.planes) - 1 - level))
+            before[np.flatnonzero(~bits)] = codes[: self.zeros[level]]
+            before[np.flatnonzero(bits)] = codes[self.zeros[level] :] | codes.dtype.type(1 << (len(self.planes) - 1 - level))
             codes = before
         return self.alphabet[codes] if self.n else np.zeros(0, "<u4")
 
@@ -155,7 +155,7 @@ _SHARDS = "part int, seq int, part_start long, doc_ids array<long>, lengths arra
 _SHARD_FIELDS = [("part", pa.int32()), ("seq", pa.int32()), ("part_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("shard", pa.binary())]
 
 
-def wavelet_shards(docs: DataFrame, vocabulary: str, end_id: int | None = 2, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def wavelet_shards(docs: DataFrame, vocabulary: str, end_id: int | None = 2, shard_tokens: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shards of about ``shard_tokens`` ids, documents in ascending id order, written to the shared folder.
 
     A null text has no ids of its own, only the end id; a null document id comes first; rows that

@@ -18,19 +18,28 @@ import json
 import os
 import re
 from array import array
-from itertools import chain
+from collections.abc import Callable
 
 _ODD = re.compile("[" + "".join(map(chr, [0x9, 0xB, 0xC, 0xD, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, *range(0x205F, 0x2070), 0x3000, 0xFEFF])) + "]")
 _WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
 
 
+class _Memo(dict):
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.learn(piece)
+        return ids
+
+
 class Encoder:
     """``encode(texts)`` gives for each text its ids as little-endian unsigned 16- or 32-bit integers.
 
     The memo has two generations of ``memo_size`` words; the older goes when the newer is full.
     """
 
-    def __init__(self, path: str, memo_size: int = 500_000):
+    def __init__(self, path: str, memo_size: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -45,8 +54,8 @@ class Encoder:
         self.dtype = "<u2" if self.code == "H" else "<u4"
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in [32, *range(65, 91), *range(97, 123), *range(0xC0, 0x100)]}
-        self.memo_size, self.memo, self.old = memo_size, {}, {}
-        self.marks = {"\n": self._whole(["\n"])[0]}
+        self.space = " " if self.byte_level else ""
+        self.memo_size, self.memo, self.old, self.marks = memo_size, _Memo(self._learn), {}, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,71 +81,45 @@ class Encoder:
             return None
         return text.replace("\n", " \n").split(" ")
 
-    def _learn(self, wanted: set[str]) -> None:
-        memo, old = self.memo, self.old
-        new = wanted - memo.keys()
-        if len(memo) + len(new) > self.memo_size:
-            self.old = old = memo
-            self.memo = memo = {}
-            new = wanted
-        space, lower, tokenize, code, marks, letters, odd = " " if self.byte_level else "", self.word_end, self.model.tokenize, self.code, self.marks, self.letters, []
-        for piece in new:
-            if (ids := old.get(piece)) is not None:
-                memo[piece] = ids
-                continue
-            line = piece[:1] == "\n"
-            if m := _WORD.fullmatch(piece, line):
-                stem, tail = m.groups()
-                ids = memo.get(stem) if tail and not line else None
-                if ids is None:
-                    word = stem.lower() if lower else stem if line else space + stem
-                    ids = array(code, [x.id for x in tokenize(word if word.isascii() and word[0] != " " else word.translate(letters))]).tobytes()
-                    if tail and not line:
-                        memo[stem] = ids
-                if line:
-                    ids = marks["\n"] + ids
-                if tail:  # a mark after a letter begins a new word for either vocabulary
-                    if tail not in marks:
-                        marks[tail] = self._whole([tail])[0]
-                    ids += marks[tail]
-                memo[piece] = ids
-            else:
-                odd.append(piece)
-        if len(marks) > 10_000:
-            self.marks = {"\n": marks["\n"]}
-        memo.update(zip(odd, self._whole([x if x[:1] == "\n" else space + x for x in odd]), strict=True))
+    def _learn(self, piece: str) -> bytes:
+        if (ids := self.old.get(piece)) is not None:
+            return ids
+        line = piece[:1] == "\n"
+        if not (m := _WORD.fullmatch(piece, line)):
+            return self._whole([piece if line else self.space + piece])[0]
+        stem, tail = m.groups()
+        if tail and not line:
+            return self.memo[stem] + self._mark(tail)  # a mark after a letter begins a new word for either vocabulary
+        word = stem.lower() if self.word_end else stem if line else self.space + stem
+        ids = array(self.code, [x.id for x in self.model.tokenize(word if word.isascii() and word[0] != " " else word.translate(self.letters))]).tobytes()
+        return self._mark("\n") + ids + (self._mark(tail) if tail else b"") if line else ids
+
+    def _mark(self, text: str) -> bytes:
+        if text not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[text] = self._whole([text])[0]
+        return self.marks[text]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A null text counts as empty."""
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        chars = 0
-
-        def flush() -> None:
-            firsts = self._whole([pieces[0] for _, pieces in cut]) if self.byte_level else [b""] * len(cut)
-            if self.byte_level:
-                for _, pieces in cut:
-                    del pieces[0]
-            self._learn(set(chain.from_iterable(pieces for _, pieces in cut)))
-            get = self.memo.__getitem__
-            for first, (i, pieces) in zip(firsts, cut, strict=True):
-                out[i] = first + b"".join(map(get, pieces))
-            cut.clear()
-
         for i, text in enumerate(texts):
             if not text:
                 continue
             if (pieces := self._pieces(text)) is None:
                 out[i] = self._whole([text])[0]
                 continue
-            cut.append((i, pieces))
-            chars += len(text)
-            if chars > 8_000_000:
-                flush()
-                chars = 0
-        flush()
+            if len(self.memo) > self.memo_size:
+                self.old, self.memo = self.memo, _Memo(self._learn)
+            ids = b"".join(map(self.memo.__getitem__, pieces[1:] if self.byte_level else pieces))
+            out[i] = self._first(pieces[0]) + ids if self.byte_level else ids
         return out
 
+    def _first(self, piece: str) -> bytes:
+        """Ids of a text's first piece, which has no space before it."""
+        return self._whole([piece])[0] if piece else b""
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
