@@ -23,7 +23,7 @@ from .common import held_out, need, table
 LETTERS = re.compile(r"[^\W\d_]+")  # a word: a maximal run of letters, lower case
 UNKNOWN = "und"
 _LONGEST = 5
-_PRIME = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier of the rolling hash
+_PRIME = 0x9E3779B97F4A7C15  # odd multiplier of the rolling hash
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -33,12 +33,12 @@ def _grams(words: list[str], longest: int) -> tuple[np.ndarray, np.ndarray, list
     sizes = np.array([len(w) + 2 for w in words], np.int64)
     ends = np.repeat(np.cumsum(sizes), sizes)
     owner = np.repeat(np.arange(len(words)), sizes)
-    at, hashes, power, out = np.arange(len(codes)), np.zeros(len(codes), np.uint64), np.uint64(1), []
+    at, hashes, power, out = np.arange(len(codes)), np.zeros(len(codes), np.uint64), 1, []
     for n in range(1, longest + 1):
         shifted = np.zeros(len(codes), np.uint64)
         shifted[: len(codes) - n + 1] = codes[n - 1 :] if n <= len(codes) else 0
-        hashes = hashes + shifted * power
-        power = power * _PRIME
+        hashes = hashes + shifted * np.uint64(power)
+        power = power * _PRIME % 2**64
         mixed = (hashes + np.uint64(n)) * _MIX
         out.append((mixed ^ (mixed >> np.uint64(29)), at + n <= ends))
     return owner, sizes, out
@@ -56,7 +56,7 @@ class LanguageModel:
         for x in self.languages:
             both.update(counts[x])
         self.words = sorted(w for w, n in both.items() if n > 1)
-        table = np.array([[counts[x][w] for x in self.languages] for w in self.words], float).reshape(-1, width)
+        table = np.array([[counts[x][w] for x in self.languages] for w in self.words], float).reshape(len(self.words), width)
         self.word_scores = np.log((table + smoothing) / (totals + smoothing * (len(both) + 1))).astype(np.float32)
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(longest)]
@@ -103,6 +103,8 @@ class _Scorer:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         model = self.model
+        if not model.languages:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         per_doc = [LETTERS.findall(x.lower()) if x else [] for x in texts]
         wanted = set().union(*per_doc)
         new = list(wanted - self.memo.keys())
@@ -112,11 +114,11 @@ class _Scorer:
             seen = [w for w in new if w in self.known]
             other = [w for w in new if w not in self.known]
             self.memo.update(zip(seen + other, range(len(self.memo), len(self.memo) + len(new)), strict=True))
-            self.scores = np.concatenate([self.scores, model.word_scores[[self.known[w] for w in seen]].reshape(len(seen), -1), model.unseen(other)])
+            self.scores = np.concatenate([self.scores, model.word_scores[np.array([self.known[w] for w in seen], np.int64)], model.unseen(other)])
         languages, out = [], []
         get = self.memo.__getitem__
         for words in per_doc:
-            if not words or not model.languages:
+            if not words:
                 languages.append(UNKNOWN), out.append(0.0)
                 continue
             sums = self.scores[np.fromiter(map(get, words), np.int64, len(words))].sum(0, dtype=np.float64)
