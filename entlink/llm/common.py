@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +66,24 @@ def need(df: DataFrame, columns: Iterable[str]) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_STATE: list[Any] = [None, None]
+
+
+def worker_state(key: object, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks, one thing at a time: what another operator left goes first."""
+    if _STATE[0] != key:
+        _STATE[:] = [None, None]
+        trim()
+        _STATE[:] = [key, make()]
+    return _STATE[1]
+
+
+def trim() -> None:
+    """Give memory that is no longer needed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -8,6 +8,9 @@ modulo 3 are sorted and named, the string of names is sorted in turn until names
 the length asked for, and the remaining suffixes are merged in. Neighbours that agree in the whole
 length form a class, whose least document id is answered to the documents' blocks.
 
+Copies of whole texts are set apart first: all but the one of least id are removed as a whole, and only
+that one takes part in what follows.
+
 Anchors that more than ``HOT`` documents share are spread: each of their starts goes by a hash of its
 own string, so no part gathers all surroundings of one very common passage.
 """
@@ -21,14 +24,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import need, partitions, table
+from .common import need, partitions, stage, table
 
 LENGTH = 50
-SPAN = 20  # bytes of an anchor
+SPAN = 16  # bytes of an anchor
 HOT = 20_000
-PARTS = 16  # of a segment, sorted one after another
+COPY = 9  # kind of a message
+PARTS = 256  # of a segment, sorted one after another or a few together
+TOGETHER = 60_000  # bytes of contexts
 
 
 def _dense(*columns: np.ndarray) -> np.ndarray:
@@ -42,6 +48,30 @@ def _dense(*columns: np.ndarray) -> np.ndarray:
     return key
 
 
+def _sorted(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of tuples of non-negative numbers, and for each place of the order whether a new tuple begins.
+
+    Where tuple and index fit into 64 bits, one sort of plain integers does it.
+    """
+    n = len(columns[0])
+    index_bits = max(1, (n - 1).bit_length())
+    widths = [max(1, int(c.max(initial=0)).bit_length()) for c in columns]
+    if sum(widths) + index_bits <= 64:
+        key = columns[0].astype(np.uint64)
+        for c, w in zip(columns[1:], widths[1:], strict=True):
+            key = key << np.uint64(w) | c.astype(np.uint64)
+        key = np.sort(key << np.uint64(index_bits) | np.arange(n, dtype=np.uint64))
+        order = (key & np.uint64((1 << index_bits) - 1)).astype(np.int64)
+        key >>= np.uint64(index_bits)
+    else:
+        key = _dense(*columns)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    return order, new
+
+
 def suffix_order(codes: np.ndarray, enough: int | None = None, cover: int = 1) -> np.ndarray:
     """Starts of all suffixes of ``codes`` (positive integers) in order, by the difference cover modulo 3.
 
@@ -51,20 +81,20 @@ def suffix_order(codes: np.ndarray, enough: int | None = None, cover: int = 1) -
     n = len(codes)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: codes[i:].tolist()), np.int64)
-    text = np.concatenate([codes.astype(np.int64), np.zeros(3, np.int64)])
+    text = np.concatenate([codes, np.zeros(3, codes.dtype)])
     stop = n + (n % 3 == 1)  # an empty suffix ends the first half of the names
     sample = np.concatenate([np.arange(1, stop, 3), np.arange(2, stop, 3)])
-    names = np.unique(_dense(text[sample], text[sample + 1], text[sample + 2]), return_inverse=True)[1] + 1
-    if int(names.max()) == len(names) or (enough is not None and 3 * cover >= enough):
-        order = np.argsort(names, kind="stable")
-    else:
+    order, new = _sorted(text[sample], text[sample + 1], text[sample + 2])
+    if not new.all() and (enough is None or 3 * cover < enough):
+        names = np.empty(len(sample), np.int64)
+        names[order] = np.cumsum(new)
         order = suffix_order(names, enough, 3 * cover)
     rank = np.zeros(n + 3, np.int64)
     rank[sample[order]] = np.arange(1, len(sample) + 1)
     first = sample[order]
     first = first[first < n]
     rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(_dense(text[rest], rank[rest + 1]), kind="stable")]
+    rest = rest[_sorted(text[rest], rank[rest + 1])[0]]
     place = np.arange(len(rest))
     for residue in (1, 2):  # how many suffixes of the sample come before each of the others
         other = first[first % 3 == residue]
@@ -78,8 +108,8 @@ def suffix_order(codes: np.ndarray, enough: int | None = None, cover: int = 1) -
     return out
 
 
-def least_ids(contexts: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each context, for each start in it of a string of ``length``: the least id of a context that holds the string."""
+def least_ids(contexts: list[bytes], ids: np.ndarray, length: int) -> np.ndarray:
+    """For each start of a string of ``length`` in each context, one after another: the least id of a context that holds the string."""
     sizes = np.array([len(x) + 1 for x in contexts], np.int64)
     ends = np.cumsum(sizes)
     joined = np.frombuffer(b"\x00".join(contexts) + b"\x00" * 8, np.uint8)
@@ -105,18 +135,21 @@ def least_ids(contexts: list[bytes], ids: np.ndarray, length: int) -> list[np.nd
     if len(order):
         firsts = np.flatnonzero(new)
         least[order] = np.repeat(np.minimum.reduceat(ids[owner[order]], firsts), np.diff(np.append(firsts, len(order))))
-    return [least[e - n : e - length] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    return least[is_start]
 
 
 class Block:
-    """The anchors of a block's documents."""
+    """The anchors of a block's documents; ``messages`` tell which documents are later copies."""
 
-    def __init__(self, part: pa.Table, length: int, span: int):
+    def __init__(self, part: pa.Table, messages: pa.Table, length: int, span: int):
         self.docs, self.length = R.documents_of(part), length
+        told = set(zip(*(messages.column(c).to_pylist() for c in ("kind", "n", "a")), strict=True)) if COPY in messages.column("kind").to_pylist() else set()
+        known = {n for kind, n, _ in told if kind == COPY}
+        self.copies = {i for i, (ident, text) in enumerate(self.docs) if ident in known and (COPY, ident, hashlib.sha256(text).digest()) in told}
         self.anchors: list[R.Anchors | None] = []
         found = []
-        for _, text in self.docs:
-            if len(text) < length:
+        for i, (_, text) in enumerate(self.docs):
+            if len(text) < length or i in self.copies:
                 self.anchors.append(None)
                 continue
             anchors = R.Anchors(R.run_hash(R.prefix_hash(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)), span), length, span)
@@ -124,50 +157,57 @@ class Block:
             found.append(np.unique(anchors.values))
         self.values, self.counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    def contexts(self, segments: int, replies: pa.Table) -> tuple[dict[bytes, int], list[list[int]], list[tuple[int, int, int]]]:
-        """Distinct contexts with their numbers; per context its segment, part and least id; all occurrences (document, start, context)."""
+    def contexts(self, segments: int, replies: pa.Table) -> tuple[list[bytes], np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+        """Distinct contexts; per context its segment, part and least id; per document the starts, their runs and the runs' contexts."""
         again, hot = R.answers(self.values, segments, replies)
         numbers: dict[bytes, int] = {}
-        facts: list[list[int]] = []
-        places: list[tuple[int, int, int]] = []
-        if not again.any():
-            return numbers, facts, places
+        values: list[int] = []
+        ids: list[int] = []
+        places = []
         for i, ((ident, text), anchors) in enumerate(zip(self.docs, self.anchors, strict=True)):
             if anchors is None:
                 continue
-            at = np.searchsorted(self.values, anchors.values)
-            flags = again[at]
+            flags = again[np.searchsorted(self.values, anchors.values)]
             if not flags.any():
                 continue
-            kept = np.flatnonzero(anchors.candidates(flags))
-            if not len(kept):
-                continue
-            value = anchors.least[kept]
-            spread = hot[np.searchsorted(self.values, value)]
+            kept, value = anchors.candidates(flags)
             new = np.ones(len(kept), bool)
-            new[1:] = (np.diff(kept) > 1) | (value[1:] != value[:-1]) | spread[1:]
+            new[1:] = (np.diff(kept) > 1) | (value[1:] != value[:-1])
+            if hot.any():
+                new[1:] |= hot[np.searchsorted(self.values, value[1:])]
             begins = np.flatnonzero(new)
-            lasts = kept[np.append(begins[1:], len(kept)) - 1]
-            for start, last, v, s in zip(kept[begins].tolist(), lasts.tolist(), value[begins].tolist(), spread[begins].tolist(), strict=True):
-                context = text[start : last + self.length]
-                k = numbers.get(context)
-                if k is None:
-                    k = numbers[context] = len(facts)
-                    v = xxhash.xxh3_64_intdigest(context) if s else v
-                    facts.append([v % segments, v // segments % PARTS, ident])
-                places.append((i, start, k))
-        return numbers, facts, places
-
-
-def _ordered(facts: list[list[int]], segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    table = np.array(facts, np.int64).reshape(-1, 3)
-    order = np.lexsort((table[:, 1], table[:, 0]))
-    return table, order, np.searchsorted(table[order, 0], np.arange(segments + 1))
-
-
-def _send(length: int, span: int, segments: int) -> Callable[[tuple, pa.Table], pa.Table]:
-    def run(key: tuple, part: pa.Table) -> pa.Table:
-        block = Block(part, length, span)
+            ends = kept[np.append(begins[1:], len(kept)) - 1] + self.length
+            own = []
+            for start, end, v in zip(kept[begins].tolist(), ends.tolist(), value[begins].tolist(), strict=True):
+                context = text[start:end]
+                k = numbers.setdefault(context, len(values))
+                if k == len(values):
+                    values.append(v)
+                    ids.append(ident)
+                own.append(k)
+            places.append((i, kept, np.cumsum(new) - 1, np.array(own, np.int64)))
+        contexts = list(numbers)
+        if hot.any():
+            for k in np.flatnonzero(hot[np.searchsorted(self.values, np.array(values, np.uint64))]).tolist():
+                values[k] = xxhash.xxh3_64_intdigest(contexts[k])
+        v = np.array(values, np.uint64)
+        return contexts, np.stack([(v % np.uint64(segments)).astype(np.int64), (v // np.uint64(segments) % np.uint64(PARTS)).astype(np.int64), np.array(ids, np.int64)], 1), places
+
+
+def _order(facts: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((facts[:, 1], facts[:, 0]))
+    return order, np.searchsorted(facts[order, 0], np.arange(segments + 1))
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one range after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _send(length: int, span: int, segments: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    def run(key: tuple, part: pa.Table, copies: pa.Table) -> pa.Table:
+        block = Block(part, copies, length, span)
         return R.messages(R.sketch_messages(key[0].as_py(), block.values, block.counts, segments))
 
     return run
@@ -175,15 +215,14 @@ def _send(length: int, span: int, segments: int) -> Callable[[tuple, pa.Table],
 
 def _offer(length: int, span: int, segments: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def run(key: tuple, part: pa.Table, replies: pa.Table) -> pa.Table:
-        numbers, facts, _ = Block(part, length, span).contexts(segments, replies)
-        texts = list(numbers)
-        table, order, bounds = _ordered(facts, segments)
+        contexts, facts, _ = Block(part, replies, length, span).contexts(segments, replies)
+        order, bounds = _order(facts, segments)
         rows = []
         for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
             if b > a:
                 own = order[a:b]
-                chosen = [texts[k] for k in own.tolist()]
-                rows.append((s, key[0].as_py(), 2, b - a, np.array([len(x) for x in chosen], np.int32).tobytes(), table[own, 2].tobytes(), table[own, 1].astype(np.uint8).tobytes(), b"".join(chosen)))
+                chosen = [contexts[k] for k in own.tolist()]
+                rows.append((s, key[0].as_py(), 2, b - a, np.fromiter(map(len, chosen), np.int32, b - a).tobytes(), facts[own, 2].tobytes(), facts[own, 1].astype(np.uint8).tobytes(), b"".join(chosen)))
         return R.messages(rows)
 
     return run
@@ -191,72 +230,88 @@ def _offer(length: int, span: int, segments: int) -> Callable[[tuple, pa.Table,
 
 def _sort_part(length: int) -> Callable[[pa.Table], pa.Table]:
     def run(part: pa.Table) -> pa.Table:
-        rows, wanted = [], [{} for _ in range(PARTS)]
-        for origin, lengths, ids, parts, blob in zip(*(part.column(c).to_pylist() for c in ("origin", "a", "b", "c", "d")), strict=True):
-            ends = np.cumsum(np.frombuffer(lengths, np.int32).astype(np.int64)).tolist()
-            texts = [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-            ids, parts = np.frombuffer(ids, np.int64).tolist(), list(parts)
-            for text, ident, p in zip(texts, ids, parts, strict=True):
-                have = wanted[p].get(text)
-                if have is None or ident < have:
-                    wanted[p][text] = ident
-            rows.append((origin, texts, ids, parts))
-        least = []
-        for own in wanted:
-            texts = list(own)
-            least.append(dict(zip(texts, least_ids(texts, np.fromiter(own.values(), np.int64, len(own)), length), strict=True)) if texts else {})
+        rows = [part.column(c).to_pylist() for c in ("origin", "a", "b", "c", "d")]
+        sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in rows[1]]
+        ids = [np.frombuffer(x, np.int64) for x in rows[2]]
+        ends = [np.concatenate([[0], np.cumsum(n)]) for n in sizes]
+        cuts = [np.searchsorted(np.frombuffer(x, np.uint8), np.arange(PARTS + 1)) for x in rows[3]]  # parts are sorted in a row
+        bits = [np.zeros(int((n - length + 1).sum()), bool) for n in sizes]
+        volume = np.cumsum([sum(int(e[c[p + 1]] - e[c[p]]) for e, c in zip(ends, cuts, strict=True)) for p in range(PARTS)])
+        # neighbouring parts are sorted together as long as they are short
+        firsts = np.flatnonzero(np.diff(volume // TOGETHER, prepend=-1))
+        for p, q in zip(firsts.tolist(), [*firsts[1:].tolist(), PARTS], strict=True):
+            numbers: dict[bytes, int] = {}
+            asked = []  # per row: its contexts' numbers, their starts, their ids, and where their bits begin
+            for blob, n, ident, end, cut in zip(rows[4], sizes, ids, ends, cuts, strict=True):
+                a, b = int(cut[p]), int(cut[q])
+                at = end[a : b + 1].tolist()
+                known = [numbers.setdefault(blob[x:y], len(numbers)) for x, y in zip(at, at[1:], strict=False)]
+                asked.append((np.array(known, np.int64), n[a:b] - length + 1, ident[a:b], int(end[a]) - a * (length - 1)))
+            if not numbers:
+                continue
+            least = np.full(len(numbers), np.iinfo(np.int64).max)
+            for known, _, ident, _ in asked:
+                np.minimum.at(least, known, ident)
+            found = least_ids(list(numbers), least, length)
+            starts = np.fromiter(map(len, numbers), np.int64, len(numbers)) - length + 1
+            begins = np.cumsum(starts) - starts
+            for row, (known, n, ident, at) in zip(bits, asked, strict=True):
+                if len(known):
+                    row[at : at + int(n.sum())] = found[_spread(begins[known], n)] < np.repeat(ident, n)
         segment = part.column("key")[0].as_py()
-        out = []
-        for origin, texts, ids, parts in rows:
-            bits = np.concatenate([least[p][text] < ident for text, ident, p in zip(texts, ids, parts, strict=True)])
-            out.append((origin, segment, 3, len(bits), np.packbits(bits).tobytes()))
-        return R.messages(out)
+        return R.messages([(origin, segment, 3, len(b), np.packbits(b).tobytes()) for origin, b in zip(rows[0], bits, strict=True)])
 
     return run
 
 
 def _remove(length: int, span: int, segments: int, keep_text: bool) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def run(key: tuple, part: pa.Table, replies: pa.Table) -> pa.Table:
-        block = Block(part, length, span)
-        numbers, facts, places = block.contexts(segments, replies)
-        _, order, bounds = _ordered(facts, segments)
-        starts = np.array([len(x) - length + 1 for x in numbers], np.int64)
-        verdict: list[np.ndarray | None] = [None] * len(facts)
+        block = Block(part, replies, length, span)
+        contexts, facts, places = block.contexts(segments, replies)
+        order, bounds = _order(facts, segments)
+        sizes = np.fromiter(map(len, contexts), np.int64, len(contexts)) - length + 1
+        begins = np.cumsum(sizes) - sizes
+        verdict = np.zeros(int(sizes.sum()), bool)
         for kind, s, n, a in zip(*(replies.column(c).to_pylist() for c in ("kind", "origin", "n", "a")), strict=True):
             if kind == 3:
                 own = order[bounds[s] : bounds[s + 1]]
-                for k, bits in zip(own.tolist(), np.split(np.unpackbits(np.frombuffer(a, np.uint8), count=n), np.cumsum(starts[own])[:-1]), strict=True):
-                    verdict[k] = bits
-        covers: dict[int, np.ndarray] = {}
-        for i, start, k in places:
-            ident, text = block.docs[i]
-            bits = verdict[k] if ident == facts[k][2] else None  # a later document of the block: its context starts earlier as a whole
-            if bits is not None and not bits.any():
-                continue
-            if i not in covers:
-                covers[i] = np.zeros(len(text) + 1, np.int32)
-            if bits is None:
-                covers[i][start] += 1
-                covers[i][start + int(starts[k]) - 1 + length] -= 1
-            else:
-                at = np.flatnonzero(bits) + start
-                covers[i][at] += 1
-                covers[i][at + length] -= 1
+                verdict[_spread(begins[own], sizes[own])] = np.unpackbits(np.frombuffer(a, np.uint8), count=n)
+        gone: dict[int, np.ndarray] = {}
+        for i, kept, runs, own in places:
+            first = np.flatnonzero(np.diff(runs, prepend=-1))
+            bits = verdict[begins[own][runs] + kept - kept[first][runs]]
+            bits |= (facts[own, 2] < block.docs[i][0])[runs]  # the same context starts in an earlier document of the block
+            if bits.any():
+                cover = np.zeros(len(block.docs[i][1]) + 1, np.int32)
+                cover[kept[bits]] += 1
+                cover[kept[bits] + length] -= 1
+                gone[i] = np.cumsum(cover[:-1]) > 0
         rows = []
         for i, (ident, text) in enumerate(block.docs):
+            n = len(text)
             removed = spans = 0
-            if i in covers:
-                gone = np.cumsum(covers[i][:-1]) > 0
-                removed = int(gone.sum())
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                text = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            rows.append((None if ident == R.NULL_ID else ident, len(block.docs[i][1]), removed, spans, text.decode("utf-8", "ignore") if keep_text else hashlib.sha256(text).hexdigest()))
+            if i in block.copies and n >= length:
+                removed, spans, text = n, 1, b""
+            elif i in gone:
+                mask = gone[i]
+                removed = int(mask.sum())
+                spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
+                text = np.frombuffer(text, np.uint8)[~mask].tobytes()
+            rows.append((None if ident == R.NULL_ID else ident, n, removed, spans, text.decode("utf-8", "ignore") if keep_text else hashlib.sha256(text).hexdigest()))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_text" if keep_text else "kept_sha256"])
 
     return run
 
 
+def _later_copies(blocks: DataFrame) -> DataFrame:
+    """One message to a document's block if an equal text has a smaller id."""
+    narrow = blocks.select("key", "doc_id", F.sha2("text", 256).alias("digest"))
+    first = narrow.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    empty = F.lit(b"")
+    return narrow.join(first, "digest").where("doc_id > first").select("key", F.lit(0).alias("origin"), F.lit(COPY).alias("kind"), F.col("doc_id").alias("n"), F.unhex("digest").alias("a"), *[empty.alias(c) for c in "bcd"])
+
+
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, span: int = SPAN, keep_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_text`` (or ``kept_sha256``).
 
@@ -267,13 +322,14 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, span: int = SPA
     """
     need(docs, [id_col, text_col])
     segments = partitions(docs.sparkSession)
-    grouped = R.blocks_of(docs, id_col, text_col).groupBy("key")
-    sketches = grouped.applyInArrow(_send(length, span, segments), R.MESSAGE)
+    blocks = R.blocks_of(docs, id_col, text_col)
+    grouped, copies = blocks.groupBy("key"), stage(_later_copies(blocks), "copies")
+    sketches = grouped.cogroup(copies.groupBy("key")).applyInArrow(_send(length, span, segments), R.MESSAGE)
     estimates = sketches.groupBy("key").applyInArrow(lambda part: R.merge_sketches(part, HOT), R.MESSAGE)
-    offers = grouped.cogroup(estimates.groupBy("key")).applyInArrow(_offer(length, span, segments), R.MESSAGE)
+    offers = grouped.cogroup(estimates.unionByName(copies).groupBy("key")).applyInArrow(_offer(length, span, segments), R.MESSAGE)
     verdicts = offers.groupBy("key").applyInArrow(_sort_part(length), R.MESSAGE)
     last = "kept_text" if keep_text else "kept_sha256"
-    return grouped.cogroup(estimates.unionByName(verdicts).groupBy("key")).applyInArrow(_remove(length, span, segments, keep_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} string")
+    return grouped.cogroup(estimates.unionByName(verdicts).unionByName(copies).groupBy("key")).applyInArrow(_remove(length, span, segments, keep_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} string")
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

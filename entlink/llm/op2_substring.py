@@ -69,7 +69,7 @@ class Block:
                 continue
             flags, at = again[at : at + len(anchors.values)], at + len(anchors.values)
             if flags.any():
-                places = np.flatnonzero(anchors.candidates(flags))
+                places, _ = anchors.candidates(flags)
                 h = [R.run_hash(R.prefix_hash(words[2 + k], k), self.window, k)[places] for k in (0, 1)]
                 out.append((np.full(len(places), i), places, *h))
         if not out:

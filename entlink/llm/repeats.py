@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim, worker_state
+
 # Odd multipliers of the two polynomial hashes and of the finishers: any odd numbers do.
 _P = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _M = (0xFF51AFD7ED558CCD, 0x94D049BB133111EB)
@@ -71,21 +73,22 @@ class Anchors:
     def __init__(self, hashes: np.ndarray, window: int, span: int):
         self.width = window - span + 1  # runs in a window
         self.hashes = hashes & ~np.uint64(1)  # the lowest bit is kept free
-        self.least = sliding(np.minimum, self.hashes, self.width)  # of each window
-        n = len(self.hashes)
+        least, n = sliding(np.minimum, self.hashes, self.width), len(self.hashes)
         padded = np.zeros(n + self.width - 1, np.uint64)  # windows before the first and after the last
-        padded[self.width - 1 : self.width - 1 + len(self.least)] = self.least
+        padded[self.width - 1 : self.width - 1 + len(least)] = least
         self.places = np.flatnonzero(self.hashes == sliding(np.maximum, padded, self.width)[:n])
         self.values = self.hashes[self.places]
 
-    def candidates(self, flags: np.ndarray) -> np.ndarray:
-        """Which windows have a flagged anchor; ``flags`` as ``values``."""
+    def candidates(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that have a flagged anchor, and its hash; ``flags`` as ``values``."""
         marked = self.hashes.copy()
         marked[self.places] |= flags.astype(np.uint64)
-        return (sliding(np.minimum, marked, self.width) & np.uint64(1)).astype(bool)
+        least = sliding(np.minimum, marked, self.width)
+        kept = np.flatnonzero(least & np.uint64(1))
+        return kept, least[kept] & ~np.uint64(1)
 
 
-def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = 4_000_000) -> DataFrame:
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = 2_000_000) -> DataFrame:
     """``key`` (block), ``doc_id``, ``text`` as binary (null: empty); about ``block_bytes`` of text to a block."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
@@ -105,6 +108,7 @@ def messages(rows: list[tuple]) -> pa.Table:
     """Rows (key, origin, kind, n, up to four byte strings) as a table of packed arrays."""
     filled = [(*r, *[b""] * (8 - len(r))) for r in rows]
     columns = list(zip(*filled, strict=True)) if filled else [[]] * 8
+    trim()
     return pa.table([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
 
@@ -163,4 +167,5 @@ def answers(values: np.ndarray, segments: int, replies: pa.Table) -> tuple[np.nd
 
 def documents_of(part: pa.Table) -> list[tuple[int, bytes]]:
     """Documents of a block by id; rows that repeat an id by text."""
+    worker_state(None, lambda: None)
     return sorted(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True))
