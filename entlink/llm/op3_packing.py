@@ -30,7 +30,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
         return 0
     sizes, counts = np.unique(np.asarray(lengths, np.int64), return_counts=True)
     best = -(-int((sizes * counts).sum()) // capacity)
-    for eps in [*sizes[sizes * 2 <= capacity].tolist(), capacity // 2 + 1]:
+    for eps in {*sizes[sizes * 2 <= capacity].tolist(), capacity // 2}:  # never above half, or two could share a bin
         # 1 above capacity - eps, 0 below eps, else the size itself; scaled by the capacity
         value = np.where(sizes > capacity - eps, capacity, np.where(sizes < eps, 0, sizes))
         best = max(best, -(-int((value * counts).sum()) // capacity))
