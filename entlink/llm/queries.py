@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .op10_suffix import op10_suffix
 from .op1_wavelet import op1_wavelet
 from .op2_substring import op2_substring
@@ -28,5 +29,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring": oracles.OP2,
     "op8_templates": op8_sql,
+    "op9_bagminhash": oracles.OP9,
+    "op10_suffix": oracles.OP10,
 }
