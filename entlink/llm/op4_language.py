@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, need, table
+from .common import held_out, need, table, worker_state
 
 LETTERS = re.compile(r"[^\W\d_]+")  # a word: a maximal run of letters, lower case
 UNKNOWN = "und"
@@ -96,7 +96,7 @@ class LanguageModel:
 class _Scorer:
     """A model with a memo of words, kept by a Python worker."""
 
-    def __init__(self, model: LanguageModel, memo_size: int = 300_000):
+    def __init__(self, model: LanguageModel, memo_size: int = 150_000):
         self.model, self.memo_size = model, memo_size
         self.known = dict(zip(model.words, range(len(model.words)), strict=True))
         self.memo, self.scores = {}, np.zeros((0, len(model.languages)), np.float32)
@@ -129,9 +129,6 @@ class _Scorer:
         return languages, out
 
 
-_SCORERS: dict[str, _Scorer] = {}
-
-
 def sample_rows(rows: DataFrame, limit: int, id_col: str = "doc_id") -> DataFrame:
     """At most ``limit`` rows: those whose id hashes lowest, ties by id."""
     return rows.orderBy(F.xxhash64(id_col), id_col).limit(limit)
@@ -172,10 +169,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.token not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[model.token] = _Scorer(model)
-        scorer = _SCORERS[model.token]
+        scorer = worker_state(model.token, lambda: _Scorer(model))
         for batch in batches:
             for i in range(0, max(1, batch.num_rows), 1000):
                 part = batch.slice(i, 1000)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, need, table
+from .common import held_out, need, table, worker_state
 from .op4_language import sample_rows
 
 PLACES = 1 << 18  # hashed features; place 0 is the bias
@@ -41,7 +41,7 @@ def _place(kind: str, text: str) -> int:
 class Features:
     """Distinct feature places of many texts, with a memo of words."""
 
-    def __init__(self, memo_size: int = 500_000):
+    def __init__(self, memo_size: int = 250_000):
         self.memo_size, self.memo, self.words, self.shapes = memo_size, {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.repeat = _place("r", "")
 
@@ -179,9 +179,6 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, train_rows: int = 8000
     return QualityModel([np.array(places[i], np.int64) for i in order], signs[order] if rows.num_rows else signs)
 
 
-_FEATURES: list[Features] = []
-
-
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add ``score`` (probability of label 1) and ``predicted`` to every row; whole texts, of any length.
 
@@ -194,12 +191,11 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _FEATURES:
-            _FEATURES.append(Features())
+        features = worker_state("quality", Features)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                scores = model.scores(*_FEATURES[0].of(part.column(at).to_pylist()), part.num_rows)
+                scores = model.scores(*features.of(part.column(at).to_pylist()), part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

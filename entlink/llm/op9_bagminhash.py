@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import need, stage, table
+from .common import need, stage, table, trim, worker_state
 from .graph import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -116,6 +116,7 @@ def bands(times: np.ndarray, count: int, rows: int) -> np.ndarray:
 
 def _sketch(words: int, count: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None, lambda: None)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -134,6 +135,7 @@ def _elements_and_times(words: int, size: int):
     """Sorted hashes of (shingle, number of its repeat), so that multiset overlap becomes set overlap; and the signature in 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None, lambda: None)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -214,6 +216,7 @@ def _compare(similarity: float, count: int, rows: int):
     """Links between different classes of a bucket, but for those that follow from links found before."""
 
     def run(part: pa.Table) -> pa.Table:
+        trim()
         bucket, elements = _Bucket(part, similarity, count, rows), part.column("elements").to_pylist()
         links: list[tuple[int, int]] = []
         parent: dict[int, int] = {}

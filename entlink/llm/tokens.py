@@ -20,6 +20,8 @@ import re
 from array import array
 from collections.abc import Callable
 
+from .common import worker_state
+
 _ODD = re.compile("[" + "".join(map(chr, [0x9, 0xB, 0xC, 0xD, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, *range(0x205F, 0x2070), 0x3000, 0xFEFF])) + "]")
 _WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
 
@@ -121,11 +123,6 @@ class Encoder:
         return self._whole([piece])[0] if piece else b""
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One per Python worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The Python worker's own."""
+    return worker_state(path, lambda: Encoder(path))
