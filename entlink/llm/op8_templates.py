@@ -14,6 +14,8 @@ All else is lower case without punctuation. The characters U+E001 to U+E003 stan
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,19 +46,24 @@ def canonical(text: Column) -> Column:
 
 
 def template_words(text: Column) -> Column:
-    plain = canonical(text)
-    return F.when(F.length(plain) > 0, F.split(plain, " "))
+    """Template words; a text without any gives one empty word."""
+    return F.split(canonical(text), " ")
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def window_hashes(words: Column, window: int = WINDOW) -> Column:
-    """One hash per window; of fewer words one hash of all of them, which no window of full size has."""
+    """One hash per window; of fewer words one hash of all of them, which no window of full size has; null without words."""
 
     def windows(h: Column) -> Column:
         many = F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)]))
         few = F.array(F.xxhash64(F.lit("short"), F.array_join(F.transform(h, lambda x: x.cast("string")), " ")))
-        return F.when(F.size(h) >= window, many).otherwise(few)
+        return F.when(F.size(h) >= window, many).when(F.get(h, F.lit(0)) != F.xxhash64(F.lit("")), few)
 
-    return F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), windows), F.lit(0))
+    return once(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
 
 def _slots(rows: DataFrame, key: str) -> DataFrame:
@@ -91,7 +98,7 @@ def contaminated(
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
     words = F.col("words")
     named_first = F.concat(F.array(F.lit(NAME)), F.slice(words, 2, window - 1))
-    split_items = items.select("item_id", template_words(F.col("text")).alias("words")).where("words is not null")
+    split_items = items.select("item_id", template_words(F.col("text")).alias("words")).where("words[0] <> ''")
     hashed = split_items.select("item_id", window_hashes(words, window).alias("windows"), F.when(F.size(words) >= window, F.get(window_hashes(named_first, window), F.lit(0))).alias("first"))
     at = hashed.select("item_id", F.size("windows").alias("n_windows"), F.posexplode("windows").alias("q", "hash"))
     also = hashed.where("first is not null").select("item_id", F.size("windows").alias("n_windows"), F.lit(0).alias("q"), F.col("first").alias("hash"))
@@ -101,7 +108,8 @@ def contaminated(
     else:
         probe = bench  # joined by a shuffle of both sides
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    windows = source.select("doc_id", template_words(F.col("text")).alias("words")).where("words is not null").select("doc_id", F.posexplode(window_hashes(words, window)).alias("p", "hash"))
+    # "outer" keeps the planner from computing the windows once more to filter out texts without any; the join drops those
+    windows = source.select("doc_id", F.posexplode_outer(window_hashes(template_words(F.col("text")), window)).alias("p", "hash"))
     hits = windows.join(probe, "hash").groupBy("doc_id", "item_id", "n_windows", "q").agg(F.min("p").alias("p"))
     # the shift between document and item that most windows agree on aligns their slots
     shifts = hits.groupBy("doc_id", "item_id", "n_windows", (F.col("p") - F.col("q")).alias("shift")).agg(F.count("q").alias("n"))
