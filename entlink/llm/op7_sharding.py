@@ -86,7 +86,7 @@ def matrix_row(partition: int, counts: np.ndarray, columns: np.ndarray, seed: in
 
 
 def shard_uniformly(
-    df: DataFrame, shards: int, seed: int = 20260, rows_per_cell: int = 50_000, stable_input: bool = False
+    df: DataFrame, shards: int, seed: int = 20260, rows_per_cell: int = 10_000, stable_input: bool = False
 ) -> DataFrame:
     """Add ``shard`` (0 to ``shards`` - 1) and ``slot`` (its place there, gapless from 0) to every row.
 
