@@ -480,7 +480,10 @@ def rank_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cell_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, pool = _vectors(spark, sf_dir)
-    return N.cell_neighbours(queries, N.build_cells(pool, flat_below=100), N.Profile(4, 200))
+    index, standard = N.build_cells(pool, flat_below=100), N.PROFILES["standard"]
+    # a fixed number of probes finds less the more cells there are, so half of the largest country's are probed at least
+    half = (max(map(len, index.centroids.values()), default=0) + 1) // 2
+    return N.cell_neighbours(queries, index, N.Profile(max(standard.nprobe, half), standard.overfetch))
 
 
 @query()
