@@ -10,6 +10,10 @@ mapped: nearly every value that fills a slot of the item stands for one value in
 * unit: a unit's word or sign after a number.
 
 All else is lower case without punctuation. The characters U+E001 to U+E003 stand for placeholders.
+
+A second, wide template takes every run of capitalised words as a name, also at the start of a sentence
+or line and after a colon, bracket, quote or number, with any white space between words. It decides the
+pairs whose plain templates do not agree well enough; its windows of placeholders alone are not counted.
 """
 
 from __future__ import annotations
@@ -34,6 +38,10 @@ UNITS = (
     "dollars?|usd|euros?|eur|cents?|mph|kph"
 )
 UNIT_PATTERN = NUMBER + r" *(%|(?i:" + UNITS + r"))([^\p{L}\p{N}]|$)"
+SPACE = r"[\s\p{Z}]"
+WIDE_NAME_PATTERN = r"(?<![\p{L}\p{M}\p{N}])\p{Lu}[\p{L}\p{M}]*(?:" + SPACE + r"+\p{Lu}[\p{L}\p{M}]*)*"
+WIDE_UNIT_PATTERN = NUMBER + SPACE + r"*(%|(?i:" + UNITS + r"))([^\p{L}\p{N}]|$)"
+PLAIN, WIDE = 0, 1
 JUNK_PATTERN = "[^\\p{L}\\p{M}\\p{N}" + NAME + NUMBER + UNIT + "]+"
 
 
@@ -45,9 +53,20 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(measured), JUNK_PATTERN, " "))
 
 
-def template_words(text: Column) -> Column:
+def _wide_measured(text: Column) -> Column:
+    """Numbers and units first, so that the unit of ``5 Kg`` is no name."""
+    return F.regexp_replace(F.regexp_replace(text, NUMBER_PATTERN, f" {NUMBER} "), WIDE_UNIT_PATTERN, f"{NUMBER} {UNIT} $2")
+
+
+def wide_canonical(text: Column) -> Column:
+    """Words of the wide template of a text, joined by one space."""
+    named = F.regexp_replace(_wide_measured(text), WIDE_NAME_PATTERN, NAME)
+    return F.trim(F.regexp_replace(F.lower(named), JUNK_PATTERN, " "))
+
+
+def template_words(text: Column, mode: int = PLAIN) -> Column:
     """Template words; a text without any gives one empty word."""
-    return F.split(canonical(text), " ")
+    return F.split(canonical(text) if mode == PLAIN else wide_canonical(text), " ")
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -81,6 +100,40 @@ def _slots(rows: DataFrame, key: str) -> DataFrame:
     return placed.withColumn("number", number).select(key, "place", "type", F.get(F.try_element_at("values", F.col("type")), F.col("number") - 1).alias("value"))
 
 
+def _wide_slots(rows: DataFrame, key: str) -> DataFrame:
+    """``_slots`` of the wide template; a name's value is its last word, marked if it stands alone where a sentence may start."""
+    text = F.col("text")
+
+    def value(run: Column) -> Column:
+        last = F.regexp_extract(run, r"\p{Lu}[\p{L}\p{M}]*$", 0)
+        return F.when(run == last, F.concat(F.lit(NAME), last)).otherwise(last)
+
+    numbered = F.regexp_replace(text, NUMBER_PATTERN, f" {NUMBER} ")
+    # with the small letter, comma or semicolon before it a run is not its last word, so only lone initial words are marked
+    runs = F.regexp_extract_all(_wide_measured(text), F.lit(r"(?:[\p{Ll},;]" + SPACE + "+)?" + WIDE_NAME_PATTERN), F.lit(0))
+    values = F.create_map(
+        F.lit(NAME), F.transform(runs, value),
+        F.lit(NUMBER), F.regexp_extract_all(text, F.lit(f"({NUMBER_PATTERN})"), F.lit(1)),
+        F.lit(UNIT), F.transform(F.regexp_extract_all(numbered, F.lit(WIDE_UNIT_PATTERN), F.lit(1)), lambda x: F.lower(x)),
+    )
+    placed = rows.select(key, values.alias("values"), F.posexplode(template_words(text, WIDE)).alias("place", "type")).where(F.col("type").isin(NAME, NUMBER, UNIT))
+    number = F.row_number().over(Window.partitionBy(key, "type").orderBy("place"))
+    return placed.withColumn("number", number).select(key, "place", "type", F.get(F.try_element_at("values", F.col("type")), F.col("number") - 1).alias("value"))
+
+
+def _slots_of_both(rows: DataFrame, key: str) -> DataFrame:
+    return _slots(rows, key).withColumn("mode", F.lit(PLAIN)).unionByName(_wide_slots(rows, key).withColumn("mode", F.lit(WIDE)))
+
+
+def _wide_windows(items: DataFrame, window: int) -> DataFrame:
+    """Windows of the items' wide templates that hold a word, not only placeholders; hashes are inverted to be met by wide windows alone."""
+    split_items = items.select("item_id", template_words(F.col("text"), WIDE).alias("words")).where("words[0] <> ''")
+    hashed = split_items.select("item_id", "words", window_hashes(F.col("words"), window).alias("windows"))
+    at = F.transform("windows", lambda h, i: F.struct(i.alias("q"), F.bitwise_not(h).alias("hash"), F.slice("words", i + 1, window).alias("words")))
+    told = hashed.select("item_id", F.filter(at, lambda x: F.exists(x["words"], lambda w: ~w.isin(NAME, NUMBER, UNIT))).alias("windows"))
+    return told.select("item_id", F.size("windows").alias("n_windows"), F.inline(F.transform("windows", lambda x: F.struct(x["q"].alias("q"), x["hash"].alias("hash")))), F.lit(WIDE).alias("mode"))
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -91,7 +144,9 @@ def contaminated(
     (aligned slots). Null, empty and wordless texts hold nothing and are held by nothing; an item
     of fewer than ``window`` words is held by documents that consist of its template alone. Rows
     that repeat an id count as one document; other columns are ignored. An item's first word may
-    stand for a name too, since a document can hold it within a sentence.
+    stand for a name too, since a document can hold it within a sentence. Pairs whose plain
+    templates have too few windows in common are compared by their wide templates, whose counts
+    are given then; there a lone initial word that is the same in both fills no slot.
     """
     need(docs, [id_col, text_col])
     need(benchmark, [item_col, item_text_col])
@@ -102,24 +157,31 @@ def contaminated(
     hashed = split_items.select("item_id", window_hashes(words, window).alias("windows"), F.when(F.size(words) >= window, F.get(window_hashes(named_first, window), F.lit(0))).alias("first"))
     at = hashed.select("item_id", F.size("windows").alias("n_windows"), F.posexplode("windows").alias("q", "hash"))
     also = hashed.where("first is not null").select("item_id", F.size("windows").alias("n_windows"), F.lit(0).alias("q"), F.col("first").alias("hash"))
-    bench = stage(at.unionByName(also).distinct(), "windows")
+    plain = at.unionByName(also).withColumn("mode", F.lit(PLAIN))
+    bench = stage(plain.unionByName(_wide_windows(items, window)).distinct(), "windows")
     if bench.count() <= BROADCAST_ROWS:
         probe = F.broadcast(bench)
     else:
         probe = bench  # joined by a shuffle of both sides
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # "outer" keeps the planner from computing the windows once more to filter out texts without any; the join drops those
-    windows = source.select("doc_id", F.posexplode_outer(window_hashes(template_words(F.col("text")), window)).alias("p", "hash"))
-    hits = windows.join(probe, "hash").groupBy("doc_id", "item_id", "n_windows", "q").agg(F.min("p").alias("p"))
+    wide = F.transform(window_hashes(template_words(F.col("text"), WIDE), window), lambda h: F.bitwise_not(h))
+    both = source.select("doc_id", F.explode_outer(F.array(window_hashes(template_words(F.col("text")), window), wide)).alias("windows"))
+    windows = both.select("doc_id", F.posexplode_outer("windows").alias("p", "hash"))
+    hits = windows.join(probe, "hash").groupBy("doc_id", "item_id", "mode", "n_windows", "q").agg(F.min("p").alias("p"))
     # the shift between document and item that most windows agree on aligns their slots
-    shifts = hits.groupBy("doc_id", "item_id", "n_windows", (F.col("p") - F.col("q")).alias("shift")).agg(F.count("q").alias("n"))
-    pairs = shifts.groupBy("doc_id", "item_id", "n_windows").agg(F.sum("n").alias("n_matched"), F.max_by("shift", F.struct("n", "shift")).alias("shift"))
-    close = stage(pairs.where(F.col("n_matched") >= F.lit(coverage) * F.col("n_windows")), "pairs")
+    shifts = hits.groupBy("doc_id", "item_id", "mode", "n_windows", (F.col("p") - F.col("q")).alias("shift")).agg(F.count("q").alias("n"))
+    pairs = shifts.groupBy("doc_id", "item_id", "mode", "n_windows").agg(F.sum("n").alias("n_matched"), F.max_by("shift", F.struct("n", "shift")).alias("shift"))
+    enough = pairs.where(F.col("n_matched") >= F.lit(coverage) * F.col("n_windows"))
+    close = stage(enough.withColumn("least", F.min("mode").over(Window.partitionBy("doc_id", "item_id"))).where("mode = least").drop("least"), "pairs")
 
     held = source.join(close.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    mine = _slots(held, "doc_id").select("doc_id", (F.col("place")).alias("p"), F.col("type").alias("t"), F.col("value").alias("doc_value"))
-    theirs = close.join(_slots(items, "item_id"), "item_id").select("doc_id", "item_id", (F.col("place") + F.col("shift")).alias("p"), F.col("type").alias("t"), F.col("value").alias("item_value"))
-    filled = theirs.join(mine, ["doc_id", "p", "t"]).groupBy("doc_id", "item_id", "t", "item_value", "doc_value").agg(F.count("p").alias("n"))
+    mine = _slots_of_both(held, "doc_id").select("doc_id", "mode", (F.col("place")).alias("p"), F.col("type").alias("t"), F.col("value").alias("doc_value"))
+    theirs = close.join(_slots_of_both(items, "item_id"), ["item_id", "mode"]).select("doc_id", "item_id", "mode", (F.col("place") + F.col("shift")).alias("p"), F.col("type").alias("t"), F.col("value").alias("item_value"))
+    met = theirs.join(mine, ["doc_id", "mode", "p", "t"])
+    same_initial = (F.col("mode") == WIDE) & F.col("item_value").startswith(NAME) & (F.col("item_value") == F.col("doc_value"))
+    met = met.where(~F.coalesce(same_initial, F.lit(False))).withColumns({c: F.ltrim(F.col(c), F.lit(NAME)) for c in ("item_value", "doc_value")})
+    filled = met.groupBy("doc_id", "item_id", "t", "item_value", "doc_value").agg(F.count("p").alias("n"))
     agreed = filled.groupBy("doc_id", "item_id", "t", "item_value").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
     slots = agreed.groupBy("doc_id", "item_id").agg(F.sum("best").alias("best"), F.sum("n").alias("n_slots"))
     return (
@@ -153,7 +215,8 @@ def _sql_slots(rows: str, key: str) -> str:
             WHERE type IN ('{NAME}', '{NUMBER}', '{UNIT}'))"""
 
 
-#: DuckDB SQL for the rows of ``contaminated`` with its default arguments; windows are compared as text.
+#: DuckDB SQL for the rows of ``contaminated`` with its default arguments that the plain templates give; windows are compared as text.
+#: Pairs that only the wide templates find are not in it.
 ORACLE_SQL = f"""
 WITH items AS (SELECT item_id, text, {_sql_words("text")} AS w FROM benchmark WHERE text IS NOT NULL),
 docs AS (SELECT doc_id, text, {_sql_words("text")} AS w FROM documents WHERE text IS NOT NULL),

@@ -121,6 +121,24 @@ def test_slots(spark):
     assert {(r[0], r[4]) for r in con.execute(T.ORACLE_SQL).fetchall()} == got
 
 
+def test_names_at_the_start_of_sentences_and_lines(spark):
+    janet = "Janet buys 16 eggs at the market. Janet eats 3 for breakfast every morning and bakes 4 for friends. \"Janet sells the rest\", they said. How much does Janet earn from Peter?"
+    tom = "Tom has 3 apples. Tom buys 5 more of them. Tom gives 2 to a friend. How many are left?"
+    other = janet.replace("Janet", "Mary Ann").replace("Peter", "Paul").replace("16", "20").replace("3", "7")
+    docs = [
+        (1, other),
+        (2, "Question:\n" + other.replace(" ", "\n  ", 12)),
+        (3, tom.replace("Tom", "Ann").replace("3", "8").replace("5", "6")),
+        (4, tom.replace(" ", "\n").replace("Tom", "Bob")),
+        (5, tom.replace("Tom", "Ann", 1).replace("Tom", "Bob", 1).replace("Tom", "Carl", 1)),
+        (6, "JOHN SMITH. ANN LEE. BOB. CARL. DAVE. EVE"),
+        (7, "Nothing of this kind. Ann has no apples. Bob buys 5 pens."),
+    ]
+    items = [(1, janet), (2, tom), (3, "ALPHA. BETA. GAMMA. DELTA. EPSILON. ZETA"), (4, "HELLO")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in T.contaminated(df, bench).collect()} == {(1, 1), (2, 1), (3, 2), (4, 2)}
+
+
 def test_template_plan_has_no_python(docs, spark):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     plan = T.contaminated(docs, bench)._jdf.queryExecution().toString()
