@@ -27,7 +27,7 @@ THRESHOLD = 0.3
 def shape(word: str) -> str:
     """Runs of capitals, other letters and digits become one sign each; all else stays."""
     out = []
-    for c in word[:64]:
+    for c in word:
         sign = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
         if sign not in "Aa0" or not out or out[-1] != sign:
             out.append(sign)

@@ -66,6 +66,10 @@ def test_quality_edges(spark, docs, empty):
     assert [shape(w) for w in ("EDTH!!", "Thre***", "a1b", "")] == ["A!!", "Aa***", "a0a", ""]
 
 
+def test_shape_reads_whole_words():
+    assert shape("a" * 64 + "1" * 1000 + "B!") == "a0A!"
+
+
 def test_dual_coordinate_descent_separates():
     rows = [np.array([1, 2]), np.array([1, 3]), np.array([4, 2]), np.array([4, 3])]
     labels = np.array([1, 1, -1, -1])
