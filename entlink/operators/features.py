@@ -1,4 +1,4 @@
-"""Pair features: eighteen of names and addresses, and cosines of embeddings."""
+"""Pair features: eighteen of names and addresses; the two cosines of embeddings are not built."""
 
 from __future__ import annotations
 
