@@ -2,8 +2,10 @@
 
 Numbers, names and units become typed placeholders, so a question that was copied with other numbers
 or people keeps its template. Windows of five template words are hashed and joined with those of the
-benchmark. A document holds an item if it has at least 0.8 of the item's windows and its slots can be
-mapped: nearly every value that fills a slot of the item stands for one value in the document.
+benchmark. The shift between the two that most windows agree on tells where the item would lie; a
+document holds the item if it has at least 0.8 of the item's windows within a few words of that shift
+and its slots can be mapped both ways: nearly every value that fills a slot of the item stands for one
+value in the document, and nearly every such value of the document for one of the item.
 
 * name: a run of capitalised words that follows a small letter, comma or semicolon and a space;
 * number: digits, with points or commas between them;
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import need, stage, table
 
 WINDOW, COVERAGE, CONSISTENCY = 5, 0.8, 0.8
+DRIFT = 5  # words by which parts of a held item may be displaced
 BROADCAST_ROWS = 1_000_000  # windows of the benchmark that are broadcast at most (16 bytes each)
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 NAME_PATTERN = r"([\p{Ll},;] )(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
@@ -45,22 +48,35 @@ PLAIN, WIDE = 0, 1
 JUNK_PATTERN = "[^\\p{L}\\p{M}\\p{N}" + NAME + NUMBER + UNIT + "]+"
 
 
+def iterative(pattern: str) -> str:
+    """The pattern with its last repeated group possessive: a run of any length is matched in a loop.
+
+    Nothing follows the group, so it matches the same. The greedy form recurses once a repeat, and
+    a run of some thousand words or numbers would end the executor by a stack overflow.
+    """
+    head, _, tail = pattern.rpartition(")*")
+    return f"{head})*+{tail}"
+
+
+NAMES, NUMBERS, WIDE_NAMES = map(iterative, (NAME_PATTERN, NUMBER_PATTERN, WIDE_NAME_PATTERN))
+
+
 def canonical(text: Column) -> Column:
     """Template words of a text, joined by one space."""
-    named = F.regexp_replace(text, NAME_PATTERN, f"$1{NAME}")
-    numbered = F.regexp_replace(named, NUMBER_PATTERN, f" {NUMBER} ")
+    named = F.regexp_replace(text, NAMES, f"$1{NAME}")
+    numbered = F.regexp_replace(named, NUMBERS, f" {NUMBER} ")
     measured = F.regexp_replace(numbered, UNIT_PATTERN, f"{NUMBER} {UNIT} $2")
     return F.trim(F.regexp_replace(F.lower(measured), JUNK_PATTERN, " "))
 
 
 def _wide_measured(text: Column) -> Column:
     """Numbers and units first, so that the unit of ``5 Kg`` is no name."""
-    return F.regexp_replace(F.regexp_replace(text, NUMBER_PATTERN, f" {NUMBER} "), WIDE_UNIT_PATTERN, f"{NUMBER} {UNIT} $2")
+    return F.regexp_replace(F.regexp_replace(text, NUMBERS, f" {NUMBER} "), WIDE_UNIT_PATTERN, f"{NUMBER} {UNIT} $2")
 
 
 def wide_canonical(text: Column) -> Column:
     """Words of the wide template of a text, joined by one space."""
-    named = F.regexp_replace(_wide_measured(text), WIDE_NAME_PATTERN, NAME)
+    named = F.regexp_replace(_wide_measured(text), WIDE_NAMES, NAME)
     return F.trim(F.regexp_replace(F.lower(named), JUNK_PATTERN, " "))
 
 
@@ -88,11 +104,11 @@ def window_hashes(words: Column, window: int = WINDOW) -> Column:
 def _slots(rows: DataFrame, key: str) -> DataFrame:
     """Placeholders of few texts with their values: key, place, type, value."""
     text = F.col("text")
-    named = F.regexp_replace(text, NAME_PATTERN, f"$1{NAME}")
-    numbered = F.regexp_replace(named, NUMBER_PATTERN, f" {NUMBER} ")
+    named = F.regexp_replace(text, NAMES, f"$1{NAME}")
+    numbered = F.regexp_replace(named, NUMBERS, f" {NUMBER} ")
     values = F.create_map(
-        F.lit(NAME), F.regexp_extract_all(text, F.lit(NAME_PATTERN), F.lit(2)),
-        F.lit(NUMBER), F.regexp_extract_all(named, F.lit(f"({NUMBER_PATTERN})"), F.lit(1)),
+        F.lit(NAME), F.regexp_extract_all(text, F.lit(NAMES), F.lit(2)),
+        F.lit(NUMBER), F.regexp_extract_all(named, F.lit(f"({NUMBERS})"), F.lit(1)),
         F.lit(UNIT), F.transform(F.regexp_extract_all(numbered, F.lit(UNIT_PATTERN), F.lit(1)), lambda x: F.lower(x)),
     )
     placed = rows.select(key, values.alias("values"), F.posexplode(template_words(text)).alias("place", "type")).where(F.col("type").isin(NAME, NUMBER, UNIT))
@@ -108,12 +124,12 @@ def _wide_slots(rows: DataFrame, key: str) -> DataFrame:
         last = F.regexp_extract(run, r"\p{Lu}[\p{L}\p{M}]*$", 0)
         return F.when(run == last, F.concat(F.lit(NAME), last)).otherwise(last)
 
-    numbered = F.regexp_replace(text, NUMBER_PATTERN, f" {NUMBER} ")
+    numbered = F.regexp_replace(text, NUMBERS, f" {NUMBER} ")
     # with the small letter, comma or semicolon before it a run is not its last word, so only lone initial words are marked
-    runs = F.regexp_extract_all(_wide_measured(text), F.lit(r"(?:[\p{Ll},;]" + SPACE + "+)?" + WIDE_NAME_PATTERN), F.lit(0))
+    runs = F.regexp_extract_all(_wide_measured(text), F.lit(r"(?:[\p{Ll},;]" + SPACE + "+)?" + WIDE_NAMES), F.lit(0))
     values = F.create_map(
         F.lit(NAME), F.transform(runs, value),
-        F.lit(NUMBER), F.regexp_extract_all(text, F.lit(f"({NUMBER_PATTERN})"), F.lit(1)),
+        F.lit(NUMBER), F.regexp_extract_all(text, F.lit(f"({NUMBERS})"), F.lit(1)),
         F.lit(UNIT), F.transform(F.regexp_extract_all(numbered, F.lit(WIDE_UNIT_PATTERN), F.lit(1)), lambda x: F.lower(x)),
     )
     placed = rows.select(key, values.alias("values"), F.posexplode(template_words(text, WIDE)).alias("place", "type")).where(F.col("type").isin(NAME, NUMBER, UNIT))
@@ -135,13 +151,15 @@ def _wide_windows(items: DataFrame, window: int) -> DataFrame:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY,
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY, drift: int = DRIFT,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, each once.
 
-    Columns: ``doc_id``, ``item_id``, ``n_windows`` (of the item), ``n_matched`` and ``n_slots``
-    (aligned slots). Null, empty and wordless texts hold nothing and are held by nothing; an item
+    Columns: ``doc_id``, ``item_id``, ``n_windows`` (of the item), ``n_matched`` (those met within
+    ``drift`` words of the shift that most agree on; of equally good shifts the largest) and
+    ``n_slots`` (aligned slots). An item with slots of which no one is aligned is not held. Texts
+    may be of any length, in runs of names or numbers of any length too. Null, empty and wordless texts hold nothing and are held by nothing; an item
     of fewer than ``window`` words is held by documents that consist of its template alone. Rows
     that repeat an id count as one document; other columns are ignored. An item's first word may
     stand for a name too, since a document can hold it within a sentence. Pairs whose plain
@@ -168,29 +186,45 @@ def contaminated(
     wide = F.transform(window_hashes(template_words(F.col("text"), WIDE), window), lambda h: F.bitwise_not(h))
     both = source.select("doc_id", F.explode_outer(F.array(window_hashes(template_words(F.col("text")), window), wide)).alias("windows"))
     windows = both.select("doc_id", F.posexplode_outer("windows").alias("p", "hash"))
-    hits = windows.join(probe, "hash").groupBy("doc_id", "item_id", "mode", "n_windows", "q").agg(F.min("p").alias("p"))
-    # the shift between document and item that most windows agree on aligns their slots
-    shifts = hits.groupBy("doc_id", "item_id", "mode", "n_windows", (F.col("p") - F.col("q")).alias("shift")).agg(F.count("q").alias("n"))
-    pairs = shifts.groupBy("doc_id", "item_id", "mode", "n_windows").agg(F.sum("n").alias("n_matched"), F.max_by("shift", F.struct("n", "shift")).alias("shift"))
-    enough = pairs.where(F.col("n_matched") >= F.lit(coverage) * F.col("n_windows"))
-    close = stage(enough.withColumn("least", F.min("mode").over(Window.partitionBy("doc_id", "item_id"))).where("mode = least").drop("least"), "pairs")
-
-    held = source.join(close.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    mine = _slots_of_both(held, "doc_id").select("doc_id", "mode", (F.col("place")).alias("p"), F.col("type").alias("t"), F.col("value").alias("doc_value"))
-    theirs = close.join(_slots_of_both(items, "item_id"), ["item_id", "mode"]).select("doc_id", "item_id", "mode", (F.col("place") + F.col("shift")).alias("p"), F.col("type").alias("t"), F.col("value").alias("item_value"))
-    met = theirs.join(mine, ["doc_id", "mode", "p", "t"])
+    shift = (F.col("p") - F.col("q")).alias("shift")
+    hits = windows.join(probe, "hash").groupBy("doc_id", "item_id", "mode", "n_windows", shift).agg(F.collect_set("q").alias("qs"))
+    # at one shift a window of the item occurs once, so a list has n_windows places at most
+    pair = Window.partitionBy("doc_id", "item_id", "mode")
+    best = F.max(F.struct(F.size("qs"), "shift")).over(pair)["shift"]
+    near = hits.withColumn("best", best).where(F.abs(F.col("shift") - F.col("best")) <= drift)
+    at_place = near.select("doc_id", "item_id", "mode", "n_windows", "best", "shift", F.explode("qs").alias("q"))
+    nearest = F.min(F.struct(F.abs(F.col("shift") - F.col("best")), "shift"))
+    matched = at_place.groupBy("doc_id", "item_id", "mode", "n_windows", "q").agg(nearest["shift"].alias("shift"))
+    counted = matched.withColumn("n_matched", F.count("q").over(pair)).where(F.col("n_matched") >= F.lit(coverage) * F.col("n_windows"))
+    held_windows = stage(counted.withColumn("least", F.min("mode").over(Window.partitionBy("doc_id", "item_id"))).where("mode = least").drop("least"), "held")
+    close = held_windows.select("doc_id", "item_id", "mode", "n_windows", "n_matched").distinct()
+
+    # the slots of a window that is met are aligned by that window's shift
+    held = source.join(held_windows.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    mine = _slots_of_both(held, "doc_id").select("doc_id", "mode", F.col("place").alias("p"), F.col("type").alias("t"), F.col("value").alias("doc_value"))
+    theirs = _slots_of_both(items, "item_id").select("item_id", "mode", "place", F.col("type").alias("t"), F.col("value").alias("item_value"))
+    places = held_windows.select("doc_id", "item_id", "mode", "shift", F.explode(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.col("q") + k)).alias("place"))
+    aligned = places.groupBy("doc_id", "item_id", "mode", "place").agg(F.max("shift").alias("shift")).join(theirs, ["item_id", "mode", "place"])
+    met = aligned.withColumn("p", F.col("place") + F.col("shift")).join(mine, ["doc_id", "mode", "p", "t"])
     same_initial = (F.col("mode") == WIDE) & F.col("item_value").startswith(NAME) & (F.col("item_value") == F.col("doc_value"))
-    met = met.where(~F.coalesce(same_initial, F.lit(False))).withColumns({c: F.ltrim(F.col(c), F.lit(NAME)) for c in ("item_value", "doc_value")})
-    filled = met.groupBy("doc_id", "item_id", "t", "item_value", "doc_value").agg(F.count("p").alias("n"))
-    agreed = filled.groupBy("doc_id", "item_id", "t", "item_value").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
-    slots = agreed.groupBy("doc_id", "item_id").agg(F.sum("best").alias("best"), F.sum("n").alias("n_slots"))
+    met = met.withColumn("free", F.coalesce(same_initial, F.lit(False))).withColumns({c: F.ltrim(F.col(c), F.lit(NAME)) for c in ("item_value", "doc_value")})
+    filled = met.groupBy("doc_id", "item_id", "t", "item_value", "doc_value", "free").agg(F.count("p").alias("n"))
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("of_item"), F.col("item_value").alias("value")), F.struct(F.lit(False).alias("of_item"), F.col("doc_value").alias("value"))))
+    agreed = filled.select("doc_id", "item_id", "t", "n", "free", sides.alias("side")).groupBy("doc_id", "item_id", "t", "side").agg(
+        F.coalesce(F.max(F.when(~F.col("free"), F.col("n"))), F.lit(0)).alias("best"), F.coalesce(F.sum(F.when(~F.col("free"), F.col("n"))), F.lit(0)).alias("n")
+    )
+    of_item, of_doc = F.col("side.of_item"), ~F.col("side.of_item")
+    slots = agreed.groupBy("doc_id", "item_id").agg(F.sum(F.when(of_item, F.col("best"))).alias("there"), F.sum(F.when(of_doc, F.col("best"))).alias("back"), F.sum(F.when(of_item, F.col("n"))).alias("n_slots"))
+    slotted = theirs.select("item_id", "mode", F.lit(True).alias("has_slots")).distinct()
+    consistent = F.least("there", "back") >= F.lit(consistency) * F.col("n_slots")
     return (
-        close.join(slots, ["doc_id", "item_id"], "left")
-        .where(F.coalesce(F.col("best") >= F.lit(consistency) * F.col("n_slots"), F.lit(True)))
+        close.join(slots, ["doc_id", "item_id"], "left").join(slotted, ["item_id", "mode"], "left")
+        .where(F.coalesce(consistent, F.col("has_slots").isNull()))
         .select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("n_matched").cast("long").alias("n_matched"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
     )
 
 
+
 def op8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and the benchmark item that it holds as a template."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -231,20 +265,22 @@ wins AS (
   SELECT doc_id, unnest(range(greatest(len(w) - {WINDOW - 1}, 1))) AS p,
          unnest(CASE WHEN len(w) >= {WINDOW} THEN list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' ')) ELSE ['short ' || array_to_string(w, ' ')] END) AS win
   FROM docs WHERE w IS NOT NULL),
-hits AS (SELECT doc_id, item_id, n_windows, q, min(p) AS p FROM wins JOIN bench USING (win) GROUP BY ALL),
-shifts AS (SELECT doc_id, item_id, n_windows, p - q AS shift, count(*) AS n FROM hits GROUP BY ALL),
-pairs AS (
-  SELECT doc_id, item_id, n_windows, n_matched, shift FROM (
-    SELECT *, sum(n) OVER (PARTITION BY doc_id, item_id) AS n_matched, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, shift DESC) AS r FROM shifts)
-  WHERE r = 1 AND n_matched >= {COVERAGE} * n_windows),
+hits AS (SELECT DISTINCT doc_id, item_id, n_windows, q, p - q AS shift FROM wins JOIN bench USING (win)),
+best AS (SELECT doc_id, item_id, n_windows, max(struct_pack(n := n, shift := shift)).shift AS best FROM (SELECT doc_id, item_id, n_windows, shift, count(*) AS n FROM hits GROUP BY ALL) GROUP BY ALL),
+matched AS (
+  SELECT doc_id, item_id, n_windows, q, min(struct_pack(d := abs(shift - best), shift := shift)).shift AS shift
+  FROM hits JOIN best USING (doc_id, item_id, n_windows) WHERE abs(shift - best) <= {DRIFT} GROUP BY ALL),
+pairs AS (SELECT doc_id, item_id, n_windows, count(*) AS n_matched FROM matched GROUP BY ALL HAVING count(*) >= {COVERAGE} * n_windows),
+aligned AS (SELECT doc_id, item_id, q + k AS place, max(shift) AS shift FROM matched JOIN pairs USING (doc_id, item_id, n_windows) CROSS JOIN range({WINDOW}) t(k) GROUP BY ALL),
 held AS (SELECT doc_id, min(text) AS text FROM docs WHERE doc_id IN (SELECT doc_id FROM pairs) GROUP BY doc_id),
 mine AS ({_sql_slots("held", "doc_id")}),
 theirs AS ({_sql_slots("items", "item_id")}),
 filled AS (
-  SELECT pairs.doc_id, pairs.item_id, mine.type AS t, theirs.value AS item_value, mine.value AS doc_value, count(*) AS n
-  FROM pairs JOIN theirs USING (item_id) JOIN mine ON mine.doc_id = pairs.doc_id AND mine.place = theirs.place + pairs.shift AND mine.type = theirs.type GROUP BY ALL),
-agreed AS (SELECT doc_id, item_id, t, item_value, max(n) AS best, sum(n) AS n FROM filled GROUP BY ALL),
-slots AS (SELECT doc_id, item_id, sum(best) AS best, sum(n) AS n_slots FROM agreed GROUP BY ALL)
+  SELECT aligned.doc_id, aligned.item_id, mine.type AS t, theirs.value AS item_value, mine.value AS doc_value, count(*) AS n
+  FROM aligned JOIN theirs USING (item_id, place) JOIN mine ON mine.doc_id = aligned.doc_id AND mine.place = aligned.place + aligned.shift AND mine.type = theirs.type GROUP BY ALL),
+there AS (SELECT doc_id, item_id, sum(best) AS there, sum(n) AS n_slots FROM (SELECT doc_id, item_id, t, item_value, max(n) AS best, sum(n) AS n FROM filled GROUP BY ALL) GROUP BY ALL),
+back AS (SELECT doc_id, item_id, sum(best) AS back FROM (SELECT doc_id, item_id, t, doc_value, max(n) AS best FROM filled GROUP BY ALL) GROUP BY ALL)
 SELECT pairs.doc_id, pairs.item_id, n_windows::BIGINT AS n_windows, n_matched::BIGINT AS n_matched, coalesce(n_slots, 0)::BIGINT AS n_slots
-FROM pairs LEFT JOIN slots USING (doc_id, item_id) WHERE coalesce(best >= {CONSISTENCY} * n_slots, TRUE)
+FROM pairs LEFT JOIN there USING (doc_id, item_id) LEFT JOIN back USING (doc_id, item_id)
+WHERE coalesce(least(there, back) >= {CONSISTENCY} * n_slots, item_id NOT IN (SELECT item_id FROM theirs))
 """
