@@ -101,19 +101,30 @@ def window_hashes(words: Column, window: int = WINDOW) -> Column:
     return once(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
 
+def _placed(rows: DataFrame, key: str, words: Column, values: dict[str, Column]) -> DataFrame:
+    """key, place, type and value: the k-th placeholder of a type has the k-th of the type's values."""
+
+    def of_type(numbered: Column, t: str, found: Column) -> Column:
+        zipped = F.arrays_zip(F.filter(numbered, lambda x: x["type"] == t), found)
+        return F.transform(zipped, lambda x: F.struct(x["0"]["place"].alias("place"), F.lit(t).alias("type"), x["1"].alias("value")))
+
+    def slots(w: Column) -> Column:
+        numbered = F.transform(w, lambda x, i: F.struct(i.alias("place"), x.alias("type")))
+        return F.concat(*[of_type(numbered, t, found) for t, found in values.items()])
+
+    return rows.select(key, F.inline(once(words, slots))).where("place is not null")
+
+
 def _slots(rows: DataFrame, key: str) -> DataFrame:
     """Placeholders of few texts with their values: key, place, type, value."""
     text = F.col("text")
     named = F.regexp_replace(text, NAMES, f"$1{NAME}")
     numbered = F.regexp_replace(named, NUMBERS, f" {NUMBER} ")
-    values = F.create_map(
-        F.lit(NAME), F.regexp_extract_all(text, F.lit(NAMES), F.lit(2)),
-        F.lit(NUMBER), F.regexp_extract_all(named, F.lit(f"({NUMBERS})"), F.lit(1)),
-        F.lit(UNIT), F.transform(F.regexp_extract_all(numbered, F.lit(UNIT_PATTERN), F.lit(1)), lambda x: F.lower(x)),
-    )
-    placed = rows.select(key, values.alias("values"), F.posexplode(template_words(text)).alias("place", "type")).where(F.col("type").isin(NAME, NUMBER, UNIT))
-    number = F.row_number().over(Window.partitionBy(key, "type").orderBy("place"))
-    return placed.withColumn("number", number).select(key, "place", "type", F.get(F.try_element_at("values", F.col("type")), F.col("number") - 1).alias("value"))
+    return _placed(rows, key, template_words(text), {
+        NAME: F.regexp_extract_all(text, F.lit(NAMES), F.lit(2)),
+        NUMBER: F.regexp_extract_all(named, F.lit(f"({NUMBERS})"), F.lit(1)),
+        UNIT: F.transform(F.regexp_extract_all(numbered, F.lit(UNIT_PATTERN), F.lit(1)), lambda x: F.lower(x)),
+    })
 
 
 def _wide_slots(rows: DataFrame, key: str) -> DataFrame:
@@ -127,14 +138,11 @@ def _wide_slots(rows: DataFrame, key: str) -> DataFrame:
     numbered = F.regexp_replace(text, NUMBERS, f" {NUMBER} ")
     # with the small letter, comma or semicolon before it a run is not its last word, so only lone initial words are marked
     runs = F.regexp_extract_all(_wide_measured(text), F.lit(r"(?:[\p{Ll},;]" + SPACE + "+)?" + WIDE_NAMES), F.lit(0))
-    values = F.create_map(
-        F.lit(NAME), F.transform(runs, value),
-        F.lit(NUMBER), F.regexp_extract_all(text, F.lit(f"({NUMBERS})"), F.lit(1)),
-        F.lit(UNIT), F.transform(F.regexp_extract_all(numbered, F.lit(WIDE_UNIT_PATTERN), F.lit(1)), lambda x: F.lower(x)),
-    )
-    placed = rows.select(key, values.alias("values"), F.posexplode(template_words(text, WIDE)).alias("place", "type")).where(F.col("type").isin(NAME, NUMBER, UNIT))
-    number = F.row_number().over(Window.partitionBy(key, "type").orderBy("place"))
-    return placed.withColumn("number", number).select(key, "place", "type", F.get(F.try_element_at("values", F.col("type")), F.col("number") - 1).alias("value"))
+    return _placed(rows, key, template_words(text, WIDE), {
+        NAME: F.transform(runs, value),
+        NUMBER: F.regexp_extract_all(text, F.lit(f"({NUMBERS})"), F.lit(1)),
+        UNIT: F.transform(F.regexp_extract_all(numbered, F.lit(WIDE_UNIT_PATTERN), F.lit(1)), lambda x: F.lower(x)),
+    })
 
 
 def _slots_of_both(rows: DataFrame, key: str) -> DataFrame:
@@ -150,6 +158,11 @@ def _wide_windows(items: DataFrame, window: int) -> DataFrame:
     return told.select("item_id", F.size("windows").alias("n_windows"), F.inline(F.transform("windows", lambda x: F.struct(x["q"].alias("q"), x["hash"].alias("hash")))), F.lit(WIDE).alias("mode"))
 
 
+def _keyed(rows: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """``key`` (id and hash of the text, so that null ids meet too and texts of one id stay apart) and ``text``."""
+    return rows.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of")).alias(key), F.col(text_col).alias("text"))
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY, drift: int = DRIFT,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -161,14 +174,15 @@ def contaminated(
     ``n_slots`` (aligned slots). An item with slots of which no one is aligned is not held. Texts
     may be of any length, in runs of names or numbers of any length too. Null, empty and wordless texts hold nothing and are held by nothing; an item
     of fewer than ``window`` words is held by documents that consist of its template alone. Rows
-    that repeat an id count as one document; other columns are ignored. An item's first word may
+    that repeat an id, null too, are compared one by one, and of a pair's results that with most
+    windows is given; other columns are ignored. An item's first word may
     stand for a name too, since a document can hold it within a sentence. Pairs whose plain
     templates have too few windows in common are compared by their wide templates, whose counts
     are given then; there a lone initial word that is the same in both fills no slot.
     """
     need(docs, [id_col, text_col])
     need(benchmark, [item_col, item_text_col])
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
+    items = _keyed(benchmark, item_col, item_text_col, "item_id").where("text is not null").distinct()
     words = F.col("words")
     named_first = F.concat(F.array(F.lit(NAME)), F.slice(words, 2, window - 1))
     split_items = items.select("item_id", template_words(F.col("text")).alias("words")).where("words[0] <> ''")
@@ -181,7 +195,7 @@ def contaminated(
         probe = F.broadcast(bench)
     else:
         probe = bench  # joined by a shuffle of both sides
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = _keyed(docs, id_col, text_col, "doc_id")
     # "outer" keeps the planner from computing the windows once more to filter out texts without any; the join drops those
     wide = F.transform(window_hashes(template_words(F.col("text"), WIDE), window), lambda h: F.bitwise_not(h))
     both = source.select("doc_id", F.explode_outer(F.array(window_hashes(template_words(F.col("text")), window), wide)).alias("windows"))
@@ -217,11 +231,11 @@ def contaminated(
     slots = agreed.groupBy("doc_id", "item_id").agg(F.sum(F.when(of_item, F.col("best"))).alias("there"), F.sum(F.when(of_doc, F.col("best"))).alias("back"), F.sum(F.when(of_item, F.col("n"))).alias("n_slots"))
     slotted = theirs.select("item_id", "mode", F.lit(True).alias("has_slots")).distinct()
     consistent = F.least("there", "back") >= F.lit(consistency) * F.col("n_slots")
-    return (
-        close.join(slots, ["doc_id", "item_id"], "left").join(slotted, ["item_id", "mode"], "left")
-        .where(F.coalesce(consistent, F.col("has_slots").isNull()))
-        .select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("n_matched").cast("long").alias("n_matched"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
-    )
+    good = close.join(slots, ["doc_id", "item_id"], "left").join(slotted, ["item_id", "mode"], "left").where(F.coalesce(consistent, F.col("has_slots").isNull()))
+    names = ("n_matched", "n_windows", "n_slots")
+    told = F.struct(*[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names])
+    pairs = good.groupBy(F.col("doc_id.id").alias("doc_id"), F.col("item_id.id").alias("item_id")).agg(F.max(told).alias("told"))
+    return pairs.select("doc_id", "item_id", *[F.col(f"told.{c}").alias(c) for c in ("n_windows", "n_matched", "n_slots")])
 
 
 
