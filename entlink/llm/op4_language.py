@@ -8,8 +8,10 @@ one with the largest sum over its words.
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, need, table, worker_state
 
-LETTERS = re.compile(r"[^\W\d_]+")  # a word: a maximal run of letters, lower case
+_RUNS = re.compile(r"[^\W\d_]+")  # letters, and numerals such as a half that are no decimal digits
 UNKNOWN = "und"
 _LONGEST = 5
 _PRIME = 0x9E3779B97F4A7C15  # odd multiplier of the rolling hash
@@ -44,10 +46,22 @@ def _grams(words: list[str], longest: int) -> tuple[np.ndarray, np.ndarray, list
     return owner, sizes, out
 
 
+def words_of(text: str) -> list[str]:
+    """Maximal runs of letters (Unicode category L), lower case."""
+    runs = _RUNS.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return "".join(c if c.isalpha() else " " for c in " ".join(runs)).split()
+
+
 class LanguageModel:
-    """Word and n-gram log frequencies. ``counts``: for each language the counts of its words."""
+    """Word and n-gram log frequencies. ``counts``: for each language the counts of its words.
+
+    Words and n-grams met fewer than ``least`` times in all languages together are left out; by
+    default none is.
+    """
 
-    def __init__(self, counts: dict[str, Counter], longest: int = _LONGEST, smoothing: float = 0.5):
+    def __init__(self, counts: dict[str, Counter], longest: int = _LONGEST, smoothing: float = 0.5, least: int = 1):
         self.languages, self.longest, self.token = sorted(counts), longest, uuid.uuid4().hex
         width = len(self.languages)
         totals = np.array([sum(counts[x].values()) for x in self.languages], float)
@@ -55,7 +69,7 @@ class LanguageModel:
         both = Counter()
         for x in self.languages:
             both.update(counts[x])
-        self.words = sorted(w for w, n in both.items() if n > 1)
+        self.words = sorted(w for w, n in both.items() if n >= least)
         table = np.array([[counts[x][w] for x in self.languages] for w in self.words], float).reshape(len(self.words), width)
         self.word_scores = np.log((table + smoothing) / (totals + smoothing * (len(both) + 1))).astype(np.float32)
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
@@ -72,7 +86,7 @@ class LanguageModel:
             table = np.zeros((len(keys), width))
             for j, (k, n) in enumerate(level):
                 table[np.searchsorted(keys, k), j] = n
-            often = table.sum(1) > 1
+            often = table.sum(1) >= least
             scores = np.log((table + smoothing) / (table.sum(0) + smoothing * (len(keys) + 1)))
             self.grams.append((keys[often], scores[often].astype(np.float32)))
 
@@ -94,22 +108,29 @@ class LanguageModel:
 
 
 class _Scorer:
-    """A model with a memo of words, kept by a Python worker."""
+    """A model with a memo of words, kept by a Python worker.
+
+    The memo holds ``memo_chars`` characters at most (a word counts 100 more for its entry), and
+    longer words are scored each time they are met.
+    """
 
-    def __init__(self, model: LanguageModel, memo_size: int = 150_000):
-        self.model, self.memo_size = model, memo_size
+    def __init__(self, model: LanguageModel, memo_chars: int = 8_000_000):
+        self.model, self.room, self.memo_chars = model, memo_chars, memo_chars
         self.known = dict(zip(model.words, range(len(model.words)), strict=True))
+        model.words = []  # the dictionary has them
         self.memo, self.scores = {}, np.zeros((0, len(model.languages)), np.float32)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         model = self.model
         if not model.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        per_doc = [LETTERS.findall(x.lower()) if x else [] for x in texts]
+        per_doc = [words_of(x) if x else [] for x in texts]
         wanted = set().union(*per_doc)
         new = list(wanted - self.memo.keys())
-        if len(self.memo) + len(new) > self.memo_size:
+        self.room -= sum(map(len, new)) + 100 * len(new)
+        if self.room < 0:  # what these texts need is kept until the next ones come
             self.memo, self.scores, new = {}, self.scores[:0], list(wanted)
+            self.room = self.memo_chars - sum(map(len, new)) - 100 * len(new)
         if new:
             seen = [w for w in new if w in self.known]
             other = [w for w in new if w not in self.known]
@@ -130,7 +151,7 @@ class _Scorer:
 
 
 def sample_rows(rows: DataFrame, limit: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``limit`` rows: those whose id hashes lowest, ties by id.
+    """At most ``limit`` rows: those whose id hashes lowest, ties by the columns in their order.
 
     A bound on the hash, from the number of rows, leaves little more than ``limit`` rows before any of
     them moves. Should chance leave fewer, the sample is a little smaller.
@@ -138,13 +159,13 @@ def sample_rows(rows: DataFrame, limit: int, id_col: str = "doc_id") -> DataFram
     share = (1.2 * limit + 50) / max(1, rows.count())
     if share < 1:
         rows = rows.where(F.xxhash64(id_col) <= int(share * 2**64) - 2**63)
-    return rows.orderBy(F.xxhash64(id_col), id_col).limit(limit)
+    return rows.orderBy(F.xxhash64(id_col), *rows.columns).limit(limit)
 
 
 def fit_language_model(docs: DataFrame, train_docs: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn from at most ``train_docs`` documents outside the held-out fold with text and language.
 
-    The documents are those whose id hashes lowest. Their words, counted on the executors, are all
+    The documents are those whose id hashes lowest, ties by id and text. Their words, counted on the executors, are all
     that the driver gets. Without any such document the model knows no language.
     """
     need(docs, [id_col, text_col, lang_col])
@@ -154,7 +175,7 @@ def fit_language_model(docs: DataFrame, train_docs: int = 4000, id_col: str = "d
         for batch in batches:
             counts: Counter = Counter()
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.update((lang, w) for w in LETTERS.findall(text.lower()))
+                counts.update((lang, w) for w in words_of(text))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
     words = sample_rows(usable, train_docs, id_col).select(text_col, lang_col).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
@@ -167,19 +188,20 @@ def fit_language_model(docs: DataFrame, train_docs: int = 4000, id_col: str = "d
 def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (the language's share of probability) to every row.
 
-    Null, empty and letterless texts get ``und`` and 0. Whole texts count, of any length; other
-    columns pass through unseen; columns named ``lang_pred`` or ``score`` raise an error.
+    Null, empty and letterless texts (numerals such as a half are no letters) get ``und`` and 0. Of
+    equally likely languages the first in alphabetical order is taken. Whole texts count, of any
+    length; repeated rows and ids are scored one by one; other columns pass through unseen; columns named ``lang_pred`` or ``score`` raise an error.
     """
     need(docs, [text_col])
     if clash := {"lang_pred", "score"} & set(docs.columns):
         raise ValueError(f"columns would clash: {sorted(clash)}")
-    at = docs.columns.index(text_col)
+    at, token, packed = docs.columns.index(text_col), model.token, zlib.compress(pickle.dumps(model), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_state(model.token, lambda: _Scorer(model))
+        scorer = worker_state(token, lambda: _Scorer(pickle.loads(zlib.decompress(packed))))  # unpacked once a worker
         for batch in batches:
-            for i in range(0, max(1, batch.num_rows), 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, max(1, batch.num_rows), 250):
+                part = batch.slice(i, 250)
                 langs, scores = scorer.predict(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
