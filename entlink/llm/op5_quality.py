@@ -8,6 +8,8 @@ coordinate descent and its margins become probabilities by a logistic fit on row
 
 from __future__ import annotations
 
+import itertools
+import pickle
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,10 +41,14 @@ def _place(kind: str, text: str) -> int:
 
 
 class Features:
-    """Distinct feature places of many texts, with a memo of words."""
+    """Distinct feature places of many texts, with a memo of words.
 
-    def __init__(self, memo_size: int = 250_000):
-        self.memo_size, self.memo, self.words, self.shapes = memo_size, {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    The memo holds ``memo_chars`` characters at most (a word counts 100 more for its entry) besides
+    what the texts at hand need.
+    """
+
+    def __init__(self, memo_chars: int = 12_000_000):
+        self.room, self.memo_chars, self.memo, self.words, self.shapes = memo_chars, memo_chars, {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.repeat = _place("r", "")
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,14 +56,16 @@ class Features:
         per_doc = [x.split() if x else [] for x in texts]
         wanted = set().union(*per_doc)
         new = list(wanted - self.memo.keys())
-        if len(self.memo) + len(new) > self.memo_size:
+        self.room -= sum(map(len, new)) + 100 * len(new)
+        if self.room < 0:
             self.memo, self.words, self.shapes, new = {}, self.words[:0], self.shapes[:0], list(wanted)
+            self.room = self.memo_chars - sum(map(len, new)) - 100 * len(new)
         self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
         self.words = np.concatenate([self.words, np.array([_place("w", w) for w in new], np.int64)])
         self.shapes = np.concatenate([self.shapes, np.array([_place("s", shape(w)) for w in new], np.int64)])
         sizes = np.array([len(x) for x in per_doc], np.int64)
         doc = np.repeat(np.arange(len(texts)), sizes)
-        got = np.fromiter((self.memo[w] for x in per_doc for w in x), np.int64, int(sizes.sum()))
+        got = np.fromiter(map(self.memo.__getitem__, itertools.chain.from_iterable(per_doc)), np.int64, int(sizes.sum()))
         shapes, same = self.shapes[got], doc[1:] == doc[:-1]
         pairs = ((shapes[:-1] * 0x9E3779B1 + shapes[1:] * 0x85EBCA77) >> 7) % (PLACES - 1) + 1
         repeats = same & (got[1:] == got[:-1])
@@ -159,11 +167,13 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, train_rows: int = 8000
     """Learn from at most ``train_rows`` labelled rows outside the held-out fold (those whose id hashes lowest).
 
     Their distinct feature places are all that the driver gets. Rows with a null label or id are
-    not used; a null text is an empty one.
+    not used; a null text is an empty one. Of labels that repeat an id the least counts, of
+    documents that repeat one the least text, so an id is one training row. Other columns are ignored.
     """
     need(docs, [id_col, text_col])
     need(labels, [id_col, label_col])
-    chosen = sample_rows(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, F.col(label_col).cast("int").alias("_label")), train_rows, id_col)
+    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    chosen = sample_rows(usable.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("_label")), train_rows, "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -172,7 +182,9 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, train_rows: int = 8000
             rows = np.split(places.astype(np.int32), np.flatnonzero(np.diff(doc)) + 1) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int32()))], names=["id", "label", "places"])
 
-    rows = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("long").alias("id"), text_col, "_label").mapInArrow(run, "id long, label int, places array<int>").toArrow()
+    labelled = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    one = labelled.groupBy(F.col("_id").cast("long").alias("id")).agg(F.min("_text").alias("_text"), F.min("_label").alias("_label"))
+    rows = one.mapInArrow(run, "id long, label int, places array<int>").toArrow()
     order = np.argsort(rows.column("id").to_numpy(), kind="stable") if rows.num_rows else []
     places = rows.column("places").to_pylist()
     signs = np.where(rows.column("label").to_numpy() > 0, 1, -1) if rows.num_rows else np.zeros(0, int)
@@ -182,19 +194,19 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, train_rows: int = 8000
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add ``score`` (probability of label 1) and ``predicted`` to every row; whole texts, of any length.
 
-    Null and empty texts have no features but the bias and get its score. Other columns pass
-    through unseen; columns named ``score`` or ``predicted`` raise an error.
+    Null and empty texts have no features but the bias and get its score. Repeated rows and ids are
+    scored one by one; a score of just ``threshold`` is predicted 1. Other columns pass through unseen; columns named ``score`` or ``predicted`` raise an error.
     """
     need(docs, [text_col])
     if clash := {"score", "predicted"} & set(docs.columns):
         raise ValueError(f"columns would clash: {sorted(clash)}")
-    at = docs.columns.index(text_col)
+    at, token, packed = docs.columns.index(text_col), model.token, zlib.compress(pickle.dumps(model), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = worker_state("quality", Features)
+        features, model = worker_state(token, lambda: (Features(), pickle.loads(zlib.decompress(packed))))  # once a worker
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, 250):
+                part = batch.slice(i, 250)
                 scores = model.scores(*features.of(part.column(at).to_pylist()), part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
