@@ -190,6 +190,8 @@ def _block(data: bytes, a: int, b: int, media: Media, base: int, scale: int, key
         raise ValueError("lacing passes the end of its block")
     each = media.tracks.get(track, {}).get("default_duration", 0) or (duration * scale // len(sizes) if duration else 0)
     key = bool(flags & 0x80) if keyframe is None else keyframe
+    if (base + relative) * scale + len(sizes) * each >= 1 << 63:
+        raise ValueError("a timestamp needs more than 64 bits")
     for i, n in enumerate(sizes):
         media.packets.append(Packet(track, (base + relative) * scale + i * each, a, n, key, media.clusters - 1, media.blocks, kind))
         a += n
@@ -197,7 +199,14 @@ def _block(data: bytes, a: int, b: int, media: Media, base: int, scale: int, key
 
 
 def parse(data: bytes) -> Media:
-    """All packets, cues and tracks of a file; an empty file has none. Raises ValueError on damage."""
+    """All packets, cues and tracks of a file; an empty file has none. Raises ValueError on damage, and nothing else."""
+    try:
+        return _parse(data)
+    except (KeyError, IndexError, struct.error) as e:  # a needed element, a lace's size or a block's head is missing
+        raise ValueError(f"damaged or incomplete element: {e!r}") from e
+
+
+def _parse(data: bytes) -> Media:
     media, scale = Media(), 1_000_000
     for ident, _, a, b in elements(data, 0, len(data)):
         if ident == EBML:
@@ -255,7 +264,10 @@ def payload(text: str | None) -> tuple[bytes, int]:
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``n_bytes`` and ``media``: each whole text as the frames of a Matroska file (null: empty text)."""
+    """``id``, ``n_bytes`` and ``media``: each whole text as the frames of a Matroska file (null: empty text).
+
+    One row for each row, of null and repeated ids too; equal texts give equal files; other columns are ignored.
+    """
     need(docs, [id_col, text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +284,8 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
     """One row per packet: its file's id, number, track, timestamp (ns), byte range, cluster, lacing and cue flag.
 
     Null, empty and packet-free files give no rows. ``cued``: a cue points to the packet's cluster
-    at its time. A damaged file raises an error that names the byte.
+    at its time. A damaged file raises an error. Rows that repeat an id give the packets of each file,
+    null ids stay null, packets of equal timestamps keep the order of the file; other columns are ignored.
     """
     need(media, [id_col, media_col])
     kind = media.schema[id_col].dataType.simpleString()
