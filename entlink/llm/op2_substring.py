@@ -3,7 +3,7 @@
 A window is a run of consecutive words of one text. Every word that a window covers whose words also
 start earlier (in a document of smaller id, or earlier in the same one) is removed. The prefilter of
 ``repeats`` estimates how often the content of a window occurs, never too low; windows that may
-repeat are grouped by 128-bit hashes of their words. Each block of documents sends its first
+repeat are grouped by 128-bit hashes of the numbers of their words (see ``words``). Each block of documents sends its first
 occurrence of each such window to the window's segment, and gets back whether it is the first of all.
 """
 
@@ -11,69 +11,46 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import repeats as R
-from .common import need, partitions, table
+from .common import need, table, worker_state
+from .words import pieces, word_numbers
 
-_GAP = np.ones(256, bool)  # False: one of the six ASCII white spaces
-_GAP[[9, 10, 11, 12, 13, 32]] = False
-_CHUNK = 1_000_000  # bytes hashed at once
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of ``data``, and two 64-bit hashes of each."""
-    buf = np.frombuffer(data, np.uint8)
-    inside = np.zeros(len(buf) + 2, np.int8)
-    inside[1:-1] = _GAP[buf]
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    values, hashes = buf.astype(np.uint64) + np.uint64(1), []
-    for which in (0, 1):
-        prefix = R.prefix_hash(values, which)
-        hashes.append(R.mixed((prefix[ends] - prefix[starts]) * R.powers(which, len(prefix))[1][starts], which))
-    return starts, ends, hashes[0], hashes[1]
+_TOGETHER = 1 << 19  # bytes of neighbouring texts that are worked on as one array
 
 
 class Block:
     """The words of a block's documents, and its windows' anchors."""
 
     def __init__(self, part: pa.Table, window: int):
+        worker_state(None, lambda: None)
         self.docs, self.window = R.documents_of(part), window
-        self.span = max(1, (2 * window) // 5)
-        self.words: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        group, size = [], 0
-        for i, (_, text) in enumerate(self.docs):  # many short texts are hashed together
-            group.append(text)
-            size += len(text) + 1
-            if size > _CHUNK or i + 1 == len(self.docs):
-                starts, ends, h0, h1 = word_hashes(b"\n".join(group))
-                at = 0
-                for x in group:
-                    a, b = np.searchsorted(starts, [at, at + len(x)])
-                    self.words.append((starts[a:b] - at, ends[a:b] - at, h0[a:b], h1[a:b]))
-                    at += len(x) + 1
-                group, size = [], 0
-        self.anchors = [R.Anchors(R.run_hash(R.prefix_hash(w[2]), self.span), window, self.span) if len(w[0]) >= window else None for w in self.words]
-        found = [a.values for a in self.anchors if a is not None]
+        span = max(1, (2 * window) // 5)
+        self.sizes = np.zeros(len(self.docs), np.int64)  # words of each document
+        self.groups = []  # first document, end document, a row of two numbers for each word, anchors
+        for a, b in R.grouped([len(x) for _, x in self.docs], _TOGETHER):
+            self.sizes[a:b], words = word_numbers([x for _, x in self.docs[a:b]])
+            self.groups.append((a, b, words, R.Anchors(R.run_hash(R.prefix_hash(words[:, 0]), span), self.sizes[a:b], window, span)))
+        found = [g[3].values for g in self.groups]
         self.values, self.inverse, self.counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def candidates(self, segments: int, replies: pa.Table) -> tuple[np.ndarray, ...]:
         """Windows that may repeat, in the order of documents: document number, place, and two hashes."""
-        again, at, out = R.answers(self.values, segments, replies)[0][self.inverse], 0, []
-        for i, (words, anchors) in enumerate(zip(self.words, self.anchors, strict=True)):
-            if anchors is None:
-                continue
+        again, at = R.answers(self.values, segments, replies)[0][self.inverse], 0
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        for a, b, words, anchors in self.groups:
             flags, at = again[at : at + len(anchors.values)], at + len(anchors.values)
-            if flags.any():
-                places, _ = anchors.candidates(flags)
-                h = [R.run_hash(R.prefix_hash(words[2 + k], k), self.window, k)[places] for k in (0, 1)]
-                out.append((np.full(len(places), i), places, *h))
-        if not out:
-            return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+            places, _ = anchors.candidates(flags)
+            if len(places):
+                ends = np.cumsum(self.sizes[a:b])
+                doc = np.searchsorted(ends, places, "right")
+                h = [R.run_hash(R.prefix_hash(words[:, k], k), self.window, k)[places] for k in (0, 1)]
+                out.append((doc + a, places - (ends - self.sizes[a:b])[doc], *h))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def first_of_each(self, h0: np.ndarray, h1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +87,11 @@ def _offer(window: int, segments: int) -> Callable[[tuple, pa.Table, pa.Table],
 def _bases(block: Block) -> np.ndarray:
     """Words in earlier rows with the same id, so that (id, place) is unique."""
     out, last, n = np.zeros(len(block.docs), np.int64), None, 0
-    for i, ((ident, _), words) in enumerate(zip(block.docs, block.words, strict=True)):
+    for i, (ident, _) in enumerate(block.docs):
         if ident != last:
             last, n = ident, 0
         out[i] = n
-        n += len(words[0])
+        n += int(block.sizes[i])
     return out
 
 
@@ -147,17 +124,19 @@ def _remove(window: int, segments: int, keep_text: bool) -> Callable[[tuple, pa.
         doc, place = doc[repeated], place[repeated]
         bounds = np.searchsorted(doc, np.arange(len(block.docs) + 1))
         rows = []
-        for i, ((ident, text), (starts, ends, _, _)) in enumerate(zip(block.docs, block.words, strict=True)):
-            cover = np.zeros(len(starts) + 1, np.int64)
+        for i, (ident, text) in enumerate(block.docs):
+            size = int(block.sizes[i])
+            cover = np.zeros(size + 1, np.int64)
             at = place[bounds[i] : bounds[i + 1]]
-            if len(at):
-                cover[at] += 1
-                cover[at + window] -= 1
-                keep = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
-                kept = b" ".join([text[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)])
-                rows.append((ident, len(starts), len(starts) - len(keep), kept))
-            else:
-                rows.append((ident, len(starts), 0, b" ".join(text.split())))
+            cover[at] += 1
+            cover[at + window] -= 1
+            keep, begin, kept = np.cumsum(cover[:-1]) == 0, 0, []
+            for some in map(bytes.split, pieces(text)):
+                chosen = some if not len(at) else list(compress(some, keep[begin : begin + len(some)].tolist()))
+                if chosen:
+                    kept.append(b" ".join(chosen))
+                begin += len(some)
+            rows.append((ident, size, size - int(keep.sum()), b" ".join(kept)))
         ids = pa.array([None if r[0] == R.NULL_ID else r[0] for r in rows], pa.int64())
         last = pa.array([r[3].decode("utf-8", "replace") if keep_text else hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string())
         return pa.table([ids, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), last], names=["doc_id", "n_words", "n_removed", "kept_text" if keep_text else "kept_sha256"])
@@ -173,8 +152,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, keep_text: bool =
     after another, in text order. Other columns are ignored. Windows are judged on the input.
     """
     need(docs, [id_col, text_col])
-    segments = partitions(docs.sparkSession)
-    blocks = R.blocks_of(docs, id_col, text_col)
+    blocks, segments = R.blocks_of(docs, id_col, text_col)
     grouped = blocks.groupBy("key")
     sketches = grouped.applyInArrow(_send(window, segments), R.MESSAGE)
     estimates = sketches.groupBy("key").applyInArrow(lambda part: R.merge_sketches(part, 1 << 40), R.MESSAGE)

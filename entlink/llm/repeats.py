@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trim, worker_state
+from .common import trim
 
 # Odd multipliers of the two polynomial hashes and of the finishers: any odd numbers do.
 _P = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -67,36 +67,89 @@ def sliding(op, a: np.ndarray, width: int) -> np.ndarray:
     return op(a[: len(a) - (width - n)], a[width - n :]) if n < width else a
 
 
+def byte_run_hash(data: bytes, span: int) -> np.ndarray:
+    """Hash of each run of ``span`` bytes; by words of eight bytes where they make up the span."""
+    n = len(data) - span + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    if span % 8:
+        return run_hash(prefix_hash(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)), span)
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).copy()
+    out = words[:n] * np.uint64(_P[0])
+    for k in range(8, span, 8):
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(_M[0])
+        out += words[k : k + n]
+    return mixed(out, 1)
+
+
 class Anchors:
-    """Anchors of the windows of one text, given the hash of each run of ``span`` items."""
+    """Anchors of the windows of texts that stand one after another, given the hash of each run of ``span`` items.
+
+    ``sizes`` are the items of each text; windows and so anchors never cross from one into the next.
+    """
 
-    def __init__(self, hashes: np.ndarray, window: int, span: int):
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, window: int, span: int):
         self.width = window - span + 1  # runs in a window
-        self.hashes = hashes & ~np.uint64(1)  # the lowest bit is kept free
-        least, n = sliding(np.minimum, self.hashes, self.width), len(self.hashes)
+        self.hashes = (hashes | np.uint64(2)) & ~np.uint64(1)  # never 0; the lowest bit is kept free
+        n, windows = len(hashes), max(0, len(hashes) - self.width + 1)
+        ends = np.minimum(np.cumsum(sizes)[:-1], windows)
+        crossing = np.zeros(windows + 1, np.int32)
+        np.add.at(crossing, np.maximum(np.cumsum(sizes)[:-1] - window + 1, 0).clip(max=windows), 1)
+        np.add.at(crossing, ends, -1)
+        self.inside = np.cumsum(crossing[:-1]) == 0
+        if not windows:
+            self.places, self.values = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return
         padded = np.zeros(n + self.width - 1, np.uint64)  # windows before the first and after the last
-        padded[self.width - 1 : self.width - 1 + len(least)] = least
+        padded[self.width - 1 : self.width - 1 + windows] = sliding(np.minimum, self.hashes, self.width) * self.inside
         self.places = np.flatnonzero(self.hashes == sliding(np.maximum, padded, self.width)[:n])
         self.values = self.hashes[self.places]
 
     def candidates(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The windows that have a flagged anchor, and its hash; ``flags`` as ``values``."""
+        if not flags.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         marked = self.hashes.copy()
         marked[self.places] |= flags.astype(np.uint64)
         least = sliding(np.minimum, marked, self.width)
-        kept = np.flatnonzero(least & np.uint64(1))
+        kept = np.flatnonzero((least & np.uint64(1)).astype(bool) & self.inside)
         return kept, least[kept] & ~np.uint64(1)
 
 
-def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = 2_000_000) -> DataFrame:
-    """``key`` (block), ``doc_id``, ``text`` as binary (null: empty); about ``block_bytes`` of text to a block."""
+def grouped(sizes: list[int], limit: int) -> list[tuple[int, int]]:
+    """Ranges of neighbouring texts of about ``limit`` bytes each; a longer text stands alone."""
+    out, first, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and total + n > limit:
+            out.append((first, i))
+            first, total = i, 0
+        total += n
+    return [*out, (first, len(sizes))] if sizes else []
+
+
+def layout(total: int) -> tuple[int, int]:
+    """Bytes of a block, and the number of segments, for ``total`` bytes of text.
+
+    A segment stands for about 16 MB of text. Blocks grow with the root of the input, and a
+    block has a segment for every 120 bytes at most: so a message holds eight anchors on average
+    at least, and the number of messages stays below the number of anchors by that factor.
+    """
+    block = int(min(64e6, max(2e6, (200 * total) ** 0.5)))
+    return block, max(1, min(-(-total // 16_000_000), block // 120))
+
+
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """``key`` (block), ``doc_id`` and ``text`` as binary (null: empty), ``rest`` with what is to be kept; and the number of segments."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    block_bytes, segments = layout(total)
     n = max(1, -(-total // block_bytes))
     return docs.select(
         F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(n)).cast("int").alias("key"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
-    )
+        *([F.struct(*keep).alias("rest")] if keep else []),
+    ), segments
 
 
 MESSAGE = "key int, origin int, kind int, n long, a binary, b binary, c binary, d binary"
@@ -112,9 +165,14 @@ def messages(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
 
+def segment_of(values: np.ndarray, segments: int) -> np.ndarray:
+    """By the bits above the two lowest, which are the same in all anchors."""
+    return ((values >> np.uint64(2)) % np.uint64(segments)).astype(np.int64)
+
+
 def by_segment(values: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of ``values`` (hashes) by segment and then value, and the bounds of the segments in it."""
-    segment = (values % np.uint64(segments)).astype(np.int64)
+    segment = segment_of(values, segments)
     order = np.lexsort((values, segment))
     return order, np.searchsorted(segment[order], np.arange(segments + 1))
 
@@ -167,5 +225,10 @@ def answers(values: np.ndarray, segments: int, replies: pa.Table) -> tuple[np.nd
 
 def documents_of(part: pa.Table) -> list[tuple[int, bytes]]:
     """Documents of a block by id; rows that repeat an id by text."""
-    worker_state(None, lambda: None)
     return sorted(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True))
+
+
+def rests_of(part: pa.Table) -> pa.Array:
+    """What is kept of the documents, in the order of ``documents_of``; rows with the same id and text by place."""
+    ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+    return part.column("rest").combine_chunks().take(pa.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))))
