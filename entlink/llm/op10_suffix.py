@@ -8,8 +8,8 @@ modulo 3 are sorted and named, the string of names is sorted in turn until names
 the length asked for, and the remaining suffixes are merged in. Neighbours that agree in the whole
 length form a class, whose least document id is answered to the documents' blocks.
 
-Copies of whole texts are set apart first: all but the one of least id are removed as a whole, and only
-that one takes part in what follows.
+Each block first puts its own equal texts together, then its equal contexts, so a text of which there
+are very many copies is sent once a block.
 
 Anchors that more than ``HOT`` documents share are spread: each of their starts goes by a hash of its
 own string, so no part gathers all surroundings of one very common passage.
@@ -24,17 +24,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import repeats as R
-from .common import need, partitions, stage, table
+from .common import need, table, worker_state
 
 LENGTH = 50
 SPAN = 16  # bytes of an anchor
 HOT = 20_000
-COPY = 9  # kind of a message
 PARTS = 256  # of a segment, sorted one after another or a few together
-TOGETHER = 60_000  # bytes of contexts
+TOGETHER = 60_000  # bytes of distinct contexts
+GROUP = 1 << 18  # bytes of neighbouring documents whose anchors are found as of one array
 
 
 def _dense(*columns: np.ndarray) -> np.ndarray:
@@ -139,59 +139,65 @@ def least_ids(contexts: list[bytes], ids: np.ndarray, length: int) -> np.ndarray
 
 
 class Block:
-    """The anchors of a block's documents; ``messages`` tell which documents are later copies."""
+    """The anchors of a block's distinct texts."""
 
-    def __init__(self, part: pa.Table, messages: pa.Table, length: int, span: int):
+    def __init__(self, part: pa.Table, length: int, span: int):
+        worker_state(None, lambda: None)
         self.docs, self.length = R.documents_of(part), length
-        told = set(zip(*(messages.column(c).to_pylist() for c in ("kind", "n", "a")), strict=True)) if COPY in messages.column("kind").to_pylist() else set()
-        known = {n for kind, n, _ in told if kind == COPY}
-        self.copies = {i for i, (ident, text) in enumerate(self.docs) if ident in known and (COPY, ident, hashlib.sha256(text).digest()) in told}
-        self.anchors: list[R.Anchors | None] = []
+        first: dict[bytes, int] = {}
+        self.first = [first.setdefault(text, i) for i, (_, text) in enumerate(self.docs)]  # the first document with the same text
+        self.asked = [i for text, i in first.items() if len(text) >= length]
+        texts = [self.docs[i][1] for i in self.asked]
+        self.groups = []  # numbers of the documents, where their texts begin in the joined text, that text, its anchors
         found = []
-        for i, (_, text) in enumerate(self.docs):
-            if len(text) < length or i in self.copies:
-                self.anchors.append(None)
-                continue
-            anchors = R.Anchors(R.run_hash(R.prefix_hash(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)), span), length, span)
-            self.anchors.append(anchors)
-            found.append(np.unique(anchors.values))
+        for a, b in R.grouped([len(x) for x in texts], GROUP):
+            sizes = np.fromiter(map(len, texts[a:b]), np.int64, b - a)
+            joined = b"".join(texts[a:b])
+            anchors = R.Anchors(R.byte_run_hash(joined, span), sizes, length, span)
+            self.groups.append((np.array(self.asked[a:b]), np.cumsum(sizes) - sizes, joined, anchors))
+            # how many documents have it: of one document's anchors each counts once
+            owner = np.searchsorted(np.cumsum(sizes), anchors.places, "right")
+            order = np.lexsort((owner, anchors.values))
+            value, owner = anchors.values[order], owner[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+            found.append(value[new])
         self.values, self.counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    def contexts(self, segments: int, replies: pa.Table) -> tuple[list[bytes], np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
-        """Distinct contexts; per context its segment, part and least id; per document the starts, their runs and the runs' contexts."""
+    def contexts(self, segments: int, replies: pa.Table) -> tuple[list[bytes], np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]]:
+        """Distinct contexts; per context its segment, part and least id; per group the starts, their runs and the runs' contexts."""
         again, hot = R.answers(self.values, segments, replies)
         numbers: dict[bytes, int] = {}
-        values: list[int] = []
-        ids: list[int] = []
-        places = []
-        for i, ((ident, text), anchors) in enumerate(zip(self.docs, self.anchors, strict=True)):
-            if anchors is None:
-                continue
-            flags = again[np.searchsorted(self.values, anchors.values)]
-            if not flags.any():
+        values: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        groups: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = []
+        every = np.array([i for i, _ in self.docs], np.int64)
+        for docs, begin, joined, anchors in self.groups:
+            kept, value = anchors.candidates(again[np.searchsorted(self.values, anchors.values)])
+            if not len(kept):
+                groups.append(None)
                 continue
-            kept, value = anchors.candidates(flags)
-            new = np.ones(len(kept), bool)
+            new = np.ones(len(kept), bool)  # the last start of a text and the first of the next are never neighbours
             new[1:] = (np.diff(kept) > 1) | (value[1:] != value[:-1])
             if hot.any():
                 new[1:] |= hot[np.searchsorted(self.values, value[1:])]
-            begins = np.flatnonzero(new)
-            ends = kept[np.append(begins[1:], len(kept)) - 1] + self.length
-            own = []
-            for start, end, v in zip(kept[begins].tolist(), ends.tolist(), value[begins].tolist(), strict=True):
-                context = text[start:end]
-                k = numbers.setdefault(context, len(values))
-                if k == len(values):
-                    values.append(v)
-                    ids.append(ident)
-                own.append(k)
-            places.append((i, kept, np.cumsum(new) - 1, np.array(own, np.int64)))
+            first = np.flatnonzero(new)
+            ends = kept[np.append(first[1:], len(kept)) - 1] + self.length
+            known = len(numbers)
+            own = np.fromiter((numbers.setdefault(joined[a:b], len(numbers)) for a, b in zip(kept[first].tolist(), ends.tolist(), strict=True)), np.int64, len(first))
+            at = np.full(len(numbers) - known, len(first))
+            fresh = np.flatnonzero(own >= known)
+            np.minimum.at(at, own[fresh] - known, fresh)  # the run that brought the context
+            values.append(value[first][at])
+            ids.append(every[docs][np.searchsorted(begin, kept[first][at], "right") - 1])
+            groups.append((kept, np.cumsum(new) - 1, own))
         contexts = list(numbers)
+        v = np.concatenate(values) if values else np.zeros(0, np.uint64)
         if hot.any():
-            for k in np.flatnonzero(hot[np.searchsorted(self.values, np.array(values, np.uint64))]).tolist():
-                values[k] = xxhash.xxh3_64_intdigest(contexts[k])
-        v = np.array(values, np.uint64)
-        return contexts, np.stack([(v % np.uint64(segments)).astype(np.int64), (v // np.uint64(segments) % np.uint64(PARTS)).astype(np.int64), np.array(ids, np.int64)], 1), places
+            for k in np.flatnonzero(hot[np.searchsorted(self.values, v)]).tolist():
+                v[k] = xxhash.xxh3_64_intdigest(contexts[k])
+        part = ((v >> np.uint64(2)) // np.uint64(segments) % np.uint64(PARTS)).astype(np.int64)
+        return contexts, np.stack([R.segment_of(v, segments), part, np.concatenate(ids) if ids else np.zeros(0, np.int64)], 1), groups
 
 
 def _order(facts: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,9 +211,9 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _send(length: int, span: int, segments: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    def run(key: tuple, part: pa.Table, copies: pa.Table) -> pa.Table:
-        block = Block(part, copies, length, span)
+def _send(length: int, span: int, segments: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        block = Block(part, length, span)
         return R.messages(R.sketch_messages(key[0].as_py(), block.values, block.counts, segments))
 
     return run
@@ -215,7 +221,7 @@ def _send(length: int, span: int, segments: int) -> Callable[[tuple, pa.Table, p
 
 def _offer(length: int, span: int, segments: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def run(key: tuple, part: pa.Table, replies: pa.Table) -> pa.Table:
-        contexts, facts, _ = Block(part, replies, length, span).contexts(segments, replies)
+        contexts, facts, _ = Block(part, length, span).contexts(segments, replies)
         order, bounds = _order(facts, segments)
         rows = []
         for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
@@ -230,44 +236,44 @@ def _offer(length: int, span: int, segments: int) -> Callable[[tuple, pa.Table,
 
 def _sort_part(length: int) -> Callable[[pa.Table], pa.Table]:
     def run(part: pa.Table) -> pa.Table:
-        rows = [part.column(c).to_pylist() for c in ("origin", "a", "b", "c", "d")]
-        sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in rows[1]]
-        ids = [np.frombuffer(x, np.int64) for x in rows[2]]
-        ends = [np.concatenate([[0], np.cumsum(n)]) for n in sizes]
-        cuts = [np.searchsorted(np.frombuffer(x, np.uint8), np.arange(PARTS + 1)) for x in rows[3]]  # parts are sorted in a row
-        bits = [np.zeros(int((n - length + 1).sum()), bool) for n in sizes]
-        volume = np.cumsum([sum(int(e[c[p + 1]] - e[c[p]]) for e, c in zip(ends, cuts, strict=True)) for p in range(PARTS)])
+        origins, sizes, ids, parts, blobs = (part.column(c).to_pylist() for c in ("origin", "a", "b", "c", "d"))
+        sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in sizes]
+        ids = [np.frombuffer(x, np.int64) for x in ids]
+        numbers: dict[bytes, int] = {}
+        known = []  # per row: its contexts' numbers
+        for blob, n in zip(blobs, sizes, strict=True):
+            at = [0, *np.cumsum(n).tolist()]
+            known.append(np.array([numbers.setdefault(blob[x:y], len(numbers)) for x, y in zip(at, at[1:], strict=False)], np.int64))
+        contexts = list(numbers)
+        del blobs, numbers
+        least, part_of = np.full(len(contexts), np.iinfo(np.int64).max), np.zeros(len(contexts), np.uint8)
+        for k, ident, p in zip(known, ids, parts, strict=True):
+            least[k] = np.minimum(least[k], ident)  # a row has each context once
+            part_of[k] = np.frombuffer(p, np.uint8)
+        long = np.fromiter(map(len, contexts), np.int64, len(contexts))
+        starts = long - length + 1
+        begins = np.cumsum(starts) - starts
+        order = np.argsort(part_of, kind="stable")
+        volume = np.cumsum(np.bincount(part_of, long, PARTS))
+        cuts = np.searchsorted(part_of[order], np.arange(PARTS + 1))
         # neighbouring parts are sorted together as long as they are short
         firsts = np.flatnonzero(np.diff(volume // TOGETHER, prepend=-1))
+        found = np.empty(int(starts.sum()), np.int64)
         for p, q in zip(firsts.tolist(), [*firsts[1:].tolist(), PARTS], strict=True):
-            numbers: dict[bytes, int] = {}
-            asked = []  # per row: its contexts' numbers, their starts, their ids, and where their bits begin
-            for blob, n, ident, end, cut in zip(rows[4], sizes, ids, ends, cuts, strict=True):
-                a, b = int(cut[p]), int(cut[q])
-                at = end[a : b + 1].tolist()
-                known = [numbers.setdefault(blob[x:y], len(numbers)) for x, y in zip(at, at[1:], strict=False)]
-                asked.append((np.array(known, np.int64), n[a:b] - length + 1, ident[a:b], int(end[a]) - a * (length - 1)))
-            if not numbers:
-                continue
-            least = np.full(len(numbers), np.iinfo(np.int64).max)
-            for known, _, ident, _ in asked:
-                np.minimum.at(least, known, ident)
-            found = least_ids(list(numbers), least, length)
-            starts = np.fromiter(map(len, numbers), np.int64, len(numbers)) - length + 1
-            begins = np.cumsum(starts) - starts
-            for row, (known, n, ident, at) in zip(bits, asked, strict=True):
-                if len(known):
-                    row[at : at + int(n.sum())] = found[_spread(begins[known], n)] < np.repeat(ident, n)
+            own = order[cuts[p] : cuts[q]]
+            if len(own):
+                found[_spread(begins[own], starts[own])] = least_ids([contexts[k] for k in own.tolist()], least[own], length)
+        bits = [found[_spread(begins[k], starts[k])] < np.repeat(ident, starts[k]) for k, ident in zip(known, ids, strict=True)]
         segment = part.column("key")[0].as_py()
-        return R.messages([(origin, segment, 3, len(b), np.packbits(b).tobytes()) for origin, b in zip(rows[0], bits, strict=True)])
+        return R.messages([(origin, segment, 3, len(b), np.packbits(b).tobytes()) for origin, b in zip(origins, bits, strict=True)])
 
     return run
 
 
 def _remove(length: int, span: int, segments: int, keep_text: bool) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def run(key: tuple, part: pa.Table, replies: pa.Table) -> pa.Table:
-        block = Block(part, replies, length, span)
-        contexts, facts, places = block.contexts(segments, replies)
+        block = Block(part, length, span)
+        contexts, facts, groups = block.contexts(segments, replies)
         order, bounds = _order(facts, segments)
         sizes = np.fromiter(map(len, contexts), np.int64, len(contexts)) - length + 1
         begins = np.cumsum(sizes) - sizes
@@ -277,59 +283,65 @@ def _remove(length: int, span: int, segments: int, keep_text: bool) -> Callable[
                 own = order[bounds[s] : bounds[s + 1]]
                 verdict[_spread(begins[own], sizes[own])] = np.unpackbits(np.frombuffer(a, np.uint8), count=n)
         gone: dict[int, np.ndarray] = {}
-        for i, kept, runs, own in places:
+        every = np.array([i for i, _ in block.docs], np.int64)
+        for group, found in zip(block.groups, groups, strict=True):
+            if found is None:
+                continue
+            (docs, start_of, joined, _), (kept, runs, own) = group, found
             first = np.flatnonzero(np.diff(runs, prepend=-1))
             bits = verdict[begins[own][runs] + kept - kept[first][runs]]
-            bits |= (facts[own, 2] < block.docs[i][0])[runs]  # the same context starts in an earlier document of the block
-            if bits.any():
-                cover = np.zeros(len(block.docs[i][1]) + 1, np.int32)
-                cover[kept[bits]] += 1
-                cover[kept[bits] + length] -= 1
-                gone[i] = np.cumsum(cover[:-1]) > 0
+            ident = every[docs][np.searchsorted(start_of, kept[first], "right") - 1]
+            bits |= (facts[own, 2] < ident)[runs]  # the same context starts in an earlier document of the block
+            cover = np.zeros(len(joined) + 1, np.int32)
+            cover[kept[bits]] += 1
+            cover[kept[bits] + length] -= 1
+            mask = np.cumsum(cover[:-1]) > 0
+            ends = np.append(start_of[1:], len(joined))
+            touched = np.add.reduceat(mask, start_of, dtype=np.int64) > 0
+            for k in np.flatnonzero(touched).tolist():
+                gone[int(docs[k])] = mask[start_of[k] : ends[k]]
         rows = []
         for i, (ident, text) in enumerate(block.docs):
             n = len(text)
             removed = spans = 0
-            if i in block.copies and n >= length:
+            first = block.first[i]
+            if n >= length and block.docs[first][0] < ident:  # the text as a whole starts in an earlier document of the block
                 removed, spans, text = n, 1, b""
-            elif i in gone:
-                mask = gone[i]
+            elif first in gone:
+                mask = gone[first]
                 removed = int(mask.sum())
                 spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
                 text = np.frombuffer(text, np.uint8)[~mask].tobytes()
             rows.append((None if ident == R.NULL_ID else ident, n, removed, spans, text.decode("utf-8", "ignore") if keep_text else hashlib.sha256(text).hexdigest()))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_text" if keep_text else "kept_sha256"])
+        kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_text" if keep_text else "kept_sha256"]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+        if "rest" in part.column_names:
+            columns, names = [*columns, R.rests_of(part)], [*names, "rest"]
+        return pa.table(columns, names=names)
 
     return run
 
 
-def _later_copies(blocks: DataFrame) -> DataFrame:
-    """One message to a document's block if an equal text has a smaller id."""
-    narrow = blocks.select("key", "doc_id", F.sha2("text", 256).alias("digest"))
-    first = narrow.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    empty = F.lit(b"")
-    return narrow.join(first, "digest").where("doc_id > first").select("key", F.lit(0).alias("origin"), F.lit(COPY).alias("kind"), F.col("doc_id").alias("n"), F.unhex("digest").alias("a"), *[empty.alias(c) for c in "bcd"])
-
-
-def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, span: int = SPAN, keep_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, span: int = SPAN, keep_text: bool = True, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_text`` (or ``kept_sha256``).
 
     Removed is every byte covered by a string of ``length`` bytes that also starts in a document of
     smaller id. A null or empty text has no bytes; a null id counts as the smallest; rows that
     repeat an id remove nothing from each other. Where a cut splits a character, ``kept_text``
-    leaves out what is no longer valid UTF-8; the digest is of the bytes. Other columns are ignored.
+    leaves out what is no longer valid UTF-8; the digest is of the bytes. Columns named in ``keep``
+    follow in a struct ``rest``, each with its row; other columns are ignored. Texts may be of any
+    length; an empty table gives none.
     """
     need(docs, [id_col, text_col])
-    segments = partitions(docs.sparkSession)
-    blocks = R.blocks_of(docs, id_col, text_col)
-    grouped, copies = blocks.groupBy("key"), stage(_later_copies(blocks), "copies")
-    sketches = grouped.cogroup(copies.groupBy("key")).applyInArrow(_send(length, span, segments), R.MESSAGE)
+    blocks, segments = R.blocks_of(docs, id_col, text_col, keep)
+    grouped, whole = blocks.drop("rest").groupBy("key"), blocks.groupBy("key")
+    sketches = grouped.applyInArrow(_send(length, span, segments), R.MESSAGE)
     estimates = sketches.groupBy("key").applyInArrow(lambda part: R.merge_sketches(part, HOT), R.MESSAGE)
-    offers = grouped.cogroup(estimates.unionByName(copies).groupBy("key")).applyInArrow(_offer(length, span, segments), R.MESSAGE)
+    offers = grouped.cogroup(estimates.groupBy("key")).applyInArrow(_offer(length, span, segments), R.MESSAGE)
     verdicts = offers.groupBy("key").applyInArrow(_sort_part(length), R.MESSAGE)
     last = "kept_text" if keep_text else "kept_sha256"
-    return grouped.cogroup(estimates.unionByName(verdicts).unionByName(copies).groupBy("key")).applyInArrow(_remove(length, span, segments, keep_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} string")
+    fields = [*[T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")], T.StructField(last, T.StringType()), *([blocks.schema["rest"]] if keep else [])]
+    return whole.cogroup(estimates.unionByName(verdicts).groupBy("key")).applyInArrow(_remove(length, span, segments, keep_text), T.StructType(fields))
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
