@@ -1,4 +1,4 @@
-"""Name and address functions as column expressions; one Arrow function for full Unicode folding."""
+"""Name and address functions as column expressions; texts beyond plain letters are folded by an Arrow function."""
 
 from __future__ import annotations
 
@@ -13,30 +13,30 @@ WORD = r"[\p{L}\p{N}]+"
 # Legal suffixes of company names, and address words with their short forms.
 LEGAL = ("inc", "incorporated", "llc", "llp", "ltd", "limited", "pvt", "private", "corp", "corporation", "company", "co", "plc", "sarl", "sas", "eurl")
 ADDRESS_ALIAS = {"road": "rd", "street": "st", "avenue": "ave", "drive": "dr", "lane": "ln", "boulevard": "blvd", "apartment": "apt", "suite": "ste"}
+# The pattern of units.
 # A unit's word, an optional "no" and sign, then the unit itself; no letter, digit or underscore may come before.
 UNIT = r"(?<![\p{L}\p{N}_])(?:unit|suite|ste|apt|apartment|flat)(?U:\s)*(?:no\.?(?U:\s)*)?[:#-]?(?U:\s)*([\p{L}\p{N}_]+)"
 
 
-def _by_series(change: Callable[[str], str]) -> Callable[[pd.Series], pd.Series]:
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else change(x))
-
-    return run
+# Characters that NFKC leaves alone, in any order, and whose case folding is their small letter (or "ss"):
+# ASCII, and the letters from U+00C0 to U+017E but those with a compatibility form or a dot of their own.
+PLAIN = "^[\\x00-\\x7F\\u00C0-\\u012F\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E]*$"
 
 
-def nfkc_casefold(text: Column) -> Column:
-    return F.pandas_udf(_by_series(lambda x: unicodedata.normalize("NFKC", x).casefold()), "string")(text)
+def _where_needed(text: Column, change: Callable[[str], str], plain: Column) -> Column:
+    """``plain`` where a text has plain characters only; else ``change`` by an Arrow function, which gets only those texts."""
 
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(change, na_action="ignore")
 
-def nfkc(text: Column) -> Column:
-    return F.pandas_udf(_by_series(lambda x: unicodedata.normalize("NFKC", x)), "string")(text)
+    simple = text.rlike(PLAIN)
+    return F.when(simple, plain).otherwise(F.pandas_udf(run, "string")(F.when(~simple, text)))
 
 
-def fold(text: Column, full: bool = True) -> Column:
-    """Case-folded text; null becomes empty. Without ``full`` it stays on the JVM: right for text that
-    NFKC leaves alone and whose only letter that folds to others is the sharp s."""
+def fold(text: Column) -> Column:
+    """Text in its compatibility form (NFKC), case-folded; null becomes empty."""
     text = F.coalesce(text, F.lit(""))
-    return nfkc_casefold(text) if full else F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    return _where_needed(text, lambda x: unicodedata.normalize("NFKC", x).casefold(), F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
 
 
 def words(folded: Column) -> Column:
@@ -44,8 +44,8 @@ def words(folded: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
 
 
-def norm(text: Column, full: bool = True) -> Column:
-    return F.array_join(words(fold(text, full)), " ")
+def norm(text: Column) -> Column:
+    return F.array_join(words(fold(text)), " ")
 
 
 def address_words(folded: Column) -> Column:
@@ -79,17 +79,17 @@ def unit_id(folded: Column) -> Column:
     return F.regexp_extract(folded, UNIT, 1)
 
 
-def clean_text(text: Column, full: bool = True) -> Column:
+def clean_text(text: Column) -> Column:
     """NFKC and single spaces, case and accents kept: what an encoder reads."""
     text = F.coalesce(text, F.lit(""))
-    return F.trim(F.regexp_replace(nfkc(text) if full else text, r"(?U:\s)+", " "))
+    return F.trim(F.regexp_replace(_where_needed(text, lambda x: unicodedata.normalize("NFKC", x), text), r"(?U:\s)+", " "))
 
 
-def encoder_view(name: Column, address: Column, view: str = "combined", full: bool = True) -> Column:
+def encoder_view(name: Column, address: Column, view: str = "combined") -> Column:
     if view == "name":
-        return F.concat(F.lit("query: "), clean_text(name, full))
+        return F.concat(F.lit("query: "), clean_text(name))
     if view == "combined":
-        return F.concat(F.lit("query: business name: "), clean_text(name, full), F.lit("; address: "), clean_text(address, full))
+        return F.concat(F.lit("query: business name: "), clean_text(name), F.lit("; address: "), clean_text(address))
     raise ValueError(view)
 
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entlink.functions import text as X
 
 MAX_BLOCK = 30
+HOT = 100_000  # rows of a key that one task joins
 
 
-def prepared(records: DataFrame, full: bool = True) -> DataFrame:
-    """All that keys and features need, once per record and before any join of pairs."""
-    base = records.withColumns({"_n": X.fold(F.col("business_name"), full), "_a": X.fold(F.col("business_address"), full), "_c": X.fold(F.col("country"), full)})
+def prepared(records: DataFrame) -> DataFrame:
+    """All that keys and features need; to be staged, so that it is made once per record and before any join of pairs."""
+    base = records.withColumns({"_n": X.fold(F.col("business_name")), "_a": X.fold(F.col("business_address")), "_c": X.fold(F.col("country"))})
     base = base.withColumns({"name_words": X.words(F.col("_n")), "addr_words": X.address_words(F.col("_a")), "country_norm": F.array_join(X.words(F.col("_c")), " ")})
     base = base.withColumns({"name_norm": F.array_join("name_words", " "), "addr_norm": F.array_join("addr_words", " "), "core": X.core_words(F.col("name_words")), "unit": X.unit_id(F.col("_a"))})
     return base.withColumns({
@@ -52,18 +53,22 @@ def block_index(keys: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
     return keys.join(counts.where(F.col("n") <= max_block), "key").drop("n")
 
 
-def candidate_pairs(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """Distinct pairs ``s1``, ``cand`` that share a key (compared as text) and their country."""
-    left = index.select(F.col("entity_id").alias("s1"), "country_norm", "key")
-    right = keys.select(F.col("entity_id").alias("cand"), "country_norm", "key")
-    return left.join(right, ["key", "country_norm"]).select("s1", "cand").distinct()
+def candidate_pairs(index: DataFrame, keys: DataFrame, hot: int = HOT) -> DataFrame:
+    """Distinct pairs ``s1``, ``cand`` that share a key (compared as text) and their country.
+
+    The cap bounds a key's owners in ``index`` and not its rows in ``keys``. A key with more than
+    ``hot`` of those is dealt to several parts by a hash of their id, and its few owners go to each
+    part. At most one key in ``hot`` rows is such a key, so their table is small.
+    """
+    sizes = keys.groupBy("key").agg(F.count("key").alias("n")).where(F.col("n") > hot)
+    parts = F.broadcast(sizes.select("key", F.ceil(F.col("n") / hot).cast("int").alias("parts")))
+    left = index.select(F.col("entity_id").alias("s1"), "country_norm", "key").join(parts, "key", "left")
+    left = left.select("s1", "country_norm", "key", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    right = keys.select(F.col("entity_id").alias("cand"), "country_norm", "key").join(parts, "key", "left")
+    right = right.select("cand", "country_norm", "key", F.pmod(F.xxhash64("cand"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    return left.join(right, ["key", "country_norm", "part"]).select("s1", "cand").distinct()
 
 
 def block_candidates(s1: DataFrame, others: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
     """Pairs of prepared records."""
     return candidate_pairs(block_index(keyed(s1), max_block), keyed(others))
-
-
-def capped(keys: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
-    """The same cap by a window: rows of keys with at most ``max_block`` owners."""
-    return keys.withColumn("n", F.count("key").over(Window.partitionBy("key"))).where(F.col("n") <= max_block)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entlink.functions.text import parse_list
+from entlink.sources.scratch import stage
 
 COLUMNS = ("entity_id", "business_name", "business_address", "country")
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
@@ -17,7 +15,11 @@ TRUTH_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("source1
 
 
 def _tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    options = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": True, "enforceSchema": False, "mode": "FAILFAST"}
+    """A quoted field may hold line ends only if some line has an odd number of quotes; without such a
+    line the file is read by lines, so that a large one is many tasks."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
+    options = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": broken, "enforceSchema": False, "mode": "FAILFAST"}
     raw = spark.read.options(**options).schema(schema).csv(path)
     return raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in schema.names])
 
@@ -50,12 +52,16 @@ def pool(sources: dict[int, DataFrame]) -> DataFrame:
 
 
 def with_dense_id(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """A gapless number from 0 in the given order: rank in a range of the sort plus the rows of earlier ranges."""
+    """A gapless number from 0 in the given order: rank in a range of the sort plus the rows of earlier ranges.
+
+    The ranks are written to the shared folder once, so sizes and rows are of the same ranges. Rows
+    that are equal in ``order`` get different numbers.
+    """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     numbered = ranged.withColumn("_local", F.monotonically_increasing_id())
-    numbered = numbered.withColumn("_part", F.shiftright("_local", 33)).withColumn("_local", F.col("_local").bitwiseAND((1 << 33) - 1))
+    numbered = stage(numbered.withColumn("_part", F.shiftright("_local", 33)).withColumn("_local", F.col("_local").bitwiseAND((1 << 33) - 1)), "ranks")
     sizes = numbered.groupBy("_part").agg(F.count("_part").alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
     return numbered.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_local")).drop("_part", "_local", "_start")
@@ -64,7 +70,8 @@ def with_dense_id(df: DataFrame, order: list[str], name: str) -> DataFrame:
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records over ``documents``: source by the number of the document's site, name up to the first
     full stop or line end, address all that follows, country the language. Of source 1 the row of
-    least id stays among equal texts of a language. ``ord`` is the document's id."""
+    least id stays among equal texts of a language. ``ord`` is the document's id, ``same`` a digest of
+    language and text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and lang is not null")
     group = F.substring("source", 4, 9).cast("int") % 3
     name = F.regexp_extract("text", r"^[^.\n]*", 0)
@@ -75,7 +82,7 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substr("text", F.length(name) + 1).alias("business_address"),
         F.col("lang").alias("country"),
         F.col("doc_id").alias("ord"),
-        F.xxhash64("lang", "text").alias("same"),
+        F.unhex(F.sha2(F.concat("lang", F.lit("\n"), "text"), 256)).alias("same"),
     )
     firsts = rows.where("source = 1").groupBy("same").agg(F.min("ord").alias("ord")).select("ord")
     return rows.where("source = 1").join(firsts, "ord", "left_semi").unionByName(rows.where("source > 1"), allowMissingColumns=True)
@@ -105,24 +112,13 @@ def check_truth(s1: DataFrame, truth: DataFrame, rows: DataFrame | None = None)
             raise ValueError("a record of source 1 has no truth")
 
 
+def preview(records: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The first rows in the order of the input."""
+    return records.orderBy("ord").limit(rows)
+
+
 def lookup(ids: DataFrame, records: DataFrame, key: str) -> DataFrame:
     """Records of the wanted ids; raises if one is missing."""
     if ids.join(records, key, "left_anti").limit(1).count():
         raise KeyError(f"unknown {key}")
     return ids.join(records, key)
-
-
-def discover(roots: list[str], marker: str, required: tuple[str, ...] = ()) -> Path:
-    """The one directory below ``roots`` that holds ``marker`` and all required files; else an error."""
-    found = sorted({p.parent for root in roots for p in Path(root).rglob(marker) if all((p.parent / x).exists() for x in required)})
-    if len(found) != 1:
-        raise FileNotFoundError(f"{len(found)} directories have {marker}: {', '.join(map(str, found))}")
-    return found[0]
-
-
-def write_json(value: object, path: str) -> None:
-    """Written beside its place and moved there, so that a reader sees the old or the new file."""
-    target = Path(path)
-    beside = target.with_name(target.name + ".tmp")
-    beside.write_text(json.dumps(value, indent=2, sort_keys=True))
-    beside.replace(target)

@@ -10,8 +10,9 @@ ROW = "source int, entity_id string, business_name string, business_address stri
 
 def test_incremental_runs(spark, tmp_path):
     base = f"file://{tmp_path}"
-    rows = [(2, f"S2-{i}", f"Companyword{i % 7} Trading Ltd", f"{i % 7 + 100} Avenue{i % 7} Road City", "US", i) for i in range(20)]
-    s1 = [(1, f"S1-{i}", f"Companyword{i} Trading Private Limited", f"{i + 100} Avenue{i} Rd City", "US", i) for i in range(7)]
+    towns = ["Skagen", "Ribe", "Odense", "Aarhus", "Viborg", "Tønder", "Køge"]
+    rows = [(2, f"S2-{i}", f"{towns[i % 7]} Sailmakers Inc", f"{20 + i % 7} {towns[i % 7]} quay road east", "Denmark", i) for i in range(20)]
+    s1 = [(1, f"S1-{i}", f"{towns[i]} Sailmakers", f"{20 + i} {towns[i]} Quay Rd East", "Denmark", i) for i in range(7)]
     prep = B.prepared(spark.createDataFrame(s1, ROW))
     prep.write.parquet(f"{base}/s1")
     B.block_index(B.keyed(prep)).write.parquet(f"{base}/index")

@@ -1,6 +1,5 @@
 """Text functions against plain Python forms of their definitions."""
 
-import re
 import unicodedata
 
 import pytest
@@ -9,18 +8,30 @@ from pyspark.sql import functions as F
 from entlink.functions import text as X
 from entlink.functions import vectors as V
 
-TEXTS = ["Alpha Ltd.", "ÉCOLE  Straße_7", "ﬁne ①2 ½", "भारत कंपनी", "", None, "Suite 12, 3B2 Main Road", "null None Road", "a b", "A B"]
-UNITS = ["Suite 315", "unit no. 3B2", "united", "flatiron", "my_unit 4", "Apt#7", "unité 5", "unit north", "flat: 9a", "no unit", ""]
+# Texts and their folded words, written out by hand.
+FOLDED = {
+    "Weiß & Söhne GmbH": "weiss söhne gmbh", "ÎLE DE RÉ": "île de ré", "ﬂoor ④ ¾": "floor 4 3 4", "Ｃａｆé９": "café9", "under_score": "under score",
+    "हिंदी 7": "ह द 7", "ΛΟΓΟΣ": "λογοσ", "Ŀlull": "l lull", "ŉ": "ʼn", "e\u0301te\u0301": "été", "a\u0300\u0301": "à", "": "", "  \t\n": "", "Łódź Œuvre Þór": "łódź œuvre þór", "İ": "i",
+}
+UNITS = {
+    "Flat 12b": "12b", "APT. 3": "", "apt: 3": "3", "Suite No 44": "44", "ste#ab_1": "ab_1", "apartment - 6": "6", "unit no. : 5": "5", "flats 3": "s", "reunite 3": "", "x_unit 3": "", "unit": "", "Unité 2": "é",
+    "tower 2, unit 9, flat 1": "9",
+}
 
 
-def plain_norm(s):
-    return " ".join(re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", s or "").casefold()))
+def test_fold(spark):
+    df = spark.createDataFrame([(t,) for t in FOLDED] + [(None,)], "t string")
+    assert {r.t: r.n for r in df.select("t", X.norm(F.col("t")).alias("n")).collect()} == FOLDED | {None: ""}
 
 
-def test_norm_full(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string")
-    got = {r.i: r.n for r in df.select("i", X.norm(F.col("t")).alias("n")).collect()}
-    assert got == {i: plain_norm(t) for i, t in enumerate(TEXTS)}
+def test_plain_letters_fold_alike_on_both_paths(spark):
+    """Each character that takes the short path, alone and beside others, folds as Unicode says."""
+    import re
+
+    chars = [c for c in map(chr, range(0x250)) if re.match(X.PLAIN, c)]
+    texts = [*chars, *[a + b for a, b in zip(chars, chars[1:], strict=False)], "".join(chars)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r.f == unicodedata.normalize("NFKC", r.t).casefold() for r in df.select("t", X.fold(F.col("t")).alias("f")).collect())
 
 
 def test_address_words(spark):
@@ -29,10 +40,8 @@ def test_address_words(spark):
 
 
 def test_unit_id(spark):
-    pattern = re.compile(r"\b(?:unit|suite|ste|apt|apartment|flat)\s*(?:no\.?\s*)?[:#-]?\s*([\w]+)")
     df = spark.createDataFrame([(t,) for t in UNITS], "t string")
-    got = {r.t: r.u for r in df.select("t", X.unit_id(X.fold(F.col("t"))).alias("u")).collect()}
-    assert got == {t: (m.group(1) if (m := pattern.search(t.casefold())) else "") for t in UNITS}
+    assert {r.t: r.u for r in df.select("t", X.unit_id(X.fold(F.col("t"))).alias("u")).collect()} == UNITS
 
 
 @pytest.mark.parametrize("text", ["", "ab", "abc", "abcabc", "añb c", "😀ab😀ab"])
