@@ -63,6 +63,20 @@ def best_threshold(tuned: DataFrame) -> DataFrame:
     return best.select("m.threshold", "m.macro_f05")
 
 
+def compare_by_country(counts: DataFrame, models: dict[str, DataFrame]) -> DataFrame:
+    """Macro F0.5 of each country by each model (accepted pairs with ``label``), with the change against the first.
+
+    ``counts`` has ``s1``, ``n_true`` and ``country``.
+    """
+    names = list(models)
+    first = macro(per_business(counts, models[names[0]]), ("country",)).select("country", F.col("macro_f05").alias("_first"))
+    out = None
+    for name in names:
+        part = macro(per_business(counts, models[name]), ("country",)).withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.join(first, "country").withColumn("change", F.col("macro_f05") - F.col("_first")).drop("_first")
+
+
 def recall_report(counts: DataFrame, ranked: DataFrame, ks: tuple[int, ...] = (10, 20, 50), by: tuple[str, ...] = ()) -> DataFrame:
     """Found links, recall (1 without true links) and sizes of the lists cut at each k."""
     each = F.explode(F.array(*[F.lit(k) for k in ks]))

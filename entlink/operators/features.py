@@ -1,4 +1,4 @@
-"""Pair features: eighteen of names and addresses; the two cosines of embeddings are not built."""
+"""Pair features: eighteen of names and addresses, and the cosines of embeddings that pairs bring along."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entlink.functions import text as X
+from entlink.functions import vectors as V
 
 # Names of the features in their order.
 FEATURES = (
@@ -13,6 +14,8 @@ FEATURES = (
     "address_exact", "address_trigram_jaccard", "address_token_jaccard", "address_token_containment", "address_missing",
     "number_jaccard", "number_disjoint", "unit_equal", "unit_conflict", "country_equal", "name_token_count", "candidate_name_token_count",
 )
+MATCH_FEATURES = (*FEATURES, "embedding_cosine")
+RESCUE_FEATURES = (*MATCH_FEATURES, "name_embedding_cosine")
 PREPARED = ("name_norm", "addr_norm", "core", "unit", "numbers", "name_set", "addr_set", "name_grams", "addr_grams", "country_norm")
 
 
@@ -62,6 +65,13 @@ def pair_features(pairs: DataFrame, s1: DataFrame, others: DataFrame) -> DataFra
     return joined.select(*pairs.columns, *[v.alias(k) for k, v in feature_columns().items()])
 
 
+def with_cosine(pairs: DataFrame, vectors: DataFrame, name: str = "embedding_cosine") -> DataFrame:
+    """``pairs`` with the cosine of the two records' vectors (``entity_id``, ``vector``); -1 if either has none."""
+    left = vectors.select(F.col("entity_id").alias("s1"), F.col("vector").alias("_l"))
+    right = vectors.select(F.col("entity_id").alias("cand"), F.col("vector").alias("_r"))
+    return pairs.join(left, "s1", "left").join(right, "cand", "left").select(*pairs.columns, F.coalesce(V.cosine(F.col("_l"), F.col("_r")), F.lit(-1.0)).alias(name))
+
+
 def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """``label`` 1 for true pairs; a true pair that was not found stays a miss."""
     true = truth.select("s1", F.col("target").alias("cand"), F.lit(1).alias("label")).distinct()

@@ -58,10 +58,15 @@ def rank_status(truth: DataFrame, ranked: DataFrame, threshold: float, k: int =
 
 
 def pareto(rows: DataFrame, good: str = "macro_f05", cost: str = "seconds") -> DataFrame:
-    """Rows that no other is as good and as cheap as, and better in one (a short table of settings)."""
-    other = rows.select(F.col(good).alias("_g"), F.col(cost).alias("_c"))
-    beaten = (F.col("_g") >= F.col(good)) & (F.col("_c") <= F.col(cost)) & ((F.col("_g") > F.col(good)) | (F.col("_c") < F.col(cost)))
-    return rows.join(F.broadcast(other), beaten, "left_anti")
+    """Rows that no other is as good and as cheap as, and better in one.
+
+    One row per distinct cost is put in order; a row stays if it is the best of its cost and better
+    than all cheaper ones.
+    """
+    best = rows.groupBy(F.col(cost).alias("_c")).agg(F.max(good).alias("_g"))
+    cheaper = F.max("_g").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
+    front = best.withColumn("_before", cheaper).where(F.col("_before").isNull() | (F.col("_g") > F.col("_before")))
+    return rows.join(front, (F.col(cost) == F.col("_c")) & (F.col(good) == F.col("_g")), "left_semi")
 
 
 def against_baseline(rows: DataFrame, baseline: Column) -> DataFrame:

@@ -1,47 +1,179 @@
-"""The pipelines as plans: block keys, features, scores, lists; and the fit-tune-evaluate path."""
+"""The pipelines as plans: block keys or neighbour search, features, scores, lists; and the fit-tune-evaluate path."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from time import perf_counter
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entlink.functions import text as X
 from entlink.operators import evaluation as E
+from entlink.operators import knn as N
 from entlink.operators.blocking import MAX_BLOCK, block_candidates, prepared
+from entlink.operators.encoder import Encoder, encode, encode_pool, encode_records, unpacked, with_bank
 from entlink.operators.export import lists
-from entlink.operators.features import FEATURES, fixed_score, labelled, pair_features
-from entlink.operators.matching import Matcher
+from entlink.operators.features import FEATURES, MATCH_FEATURES, fixed_score, labelled, pair_features, with_cosine
+from entlink.operators.matching import BASELINE, EMBEDDING, Matcher, tuned
 from entlink.operators.sampling import stratified_split
+from entlink.sources.records import with_dense_id
+from entlink.sources.scratch import scratch_path, stage
 
 THRESHOLD = 0.7
+KEPT = 20  # candidates of a record that the search keeps
+RESCUED = 5  # more candidates by name alone, among records without an address
 
 
-def sides(records: DataFrame, full: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Prepared records of source 1, and of the other sources."""
-    prep = prepared(records, full)
+def sides(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Prepared records of source 1, and of the other sources; prepared once, in the shared folder."""
+    prep = stage(prepared(records), "prepared")
     return prep.where("source = 1"), prep.where("source > 1")
 
 
-def featured(records: DataFrame, max_block: int = MAX_BLOCK, full: bool = True) -> DataFrame:
-    s1, others = sides(records, full)
+def featured(records: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
+    """Features of the pairs that share a block key."""
+    s1, others = sides(records)
     return pair_features(block_candidates(s1, others, max_block), s1, others)
 
 
-def matched(records: DataFrame, max_block: int = MAX_BLOCK, threshold: float = THRESHOLD, full: bool = True, order: str = "id") -> DataFrame:
+def matched(records: DataFrame, max_block: int = MAX_BLOCK, threshold: float = THRESHOLD, order: str = "id") -> DataFrame:
     """Candidates and matches of every record of source 1 by the fixed score."""
-    scored = featured(records, max_block, full).select("s1", "cand", fixed_score().alias("score"))
+    scored = featured(records, max_block).select("s1", "cand", fixed_score().alias("score"))
     return lists(records.where("source = 1"), scored, threshold, order)
 
 
-def fit_and_evaluate(pairs: DataFrame, truth: DataFrame, counts: DataFrame, countries: DataFrame, features: tuple[str, ...] = FEATURES, grid: str = "fine", rounds: int = 20) -> tuple[Matcher, DataFrame]:
+@dataclass
+class Search:
+    """Encoded records (``entity_id``, ``vector``) of both sides, numbered queries, the index, and ids by number."""
+
+    queries: DataFrame
+    pool: DataFrame
+    index: N.CellIndex
+    vectors: DataFrame
+
+    @classmethod
+    def build(cls, records: DataFrame, encoder: Encoder, flat_below: int = N.FLAT_BELOW, vectors_path: str | None = None) -> Search:
+        """Encode the pool (sources 2 and 3) into a table, taken up again if it is there, and index it by country."""
+        spark = records.sparkSession
+        spare = records.select("source", "entity_id", "business_name", "business_address", X.norm(F.col("country")).alias("country"))
+        pool = with_dense_id(spare.where("source > 1"), ["source", "entity_id"], "rid")
+        stored = encode_pool(pool, encoder, vectors_path or scratch_path(spark, "vectors")).select("rid", "entity_id", "country", "vector")
+        vectors = stage(unpacked(stored), "pool")
+        asked = encode_records(with_dense_id(spare.where("source = 1"), ["entity_id"], "q"), encoder, stored=True)
+        queries = stage(unpacked(asked.select("q", "entity_id", "country", "vector")), "queries")
+        index = N.build_cells(vectors.where("country <> ''"), flat_below=flat_below)
+        both = queries.select("entity_id", "vector").unionByName(vectors.select("entity_id", "vector"))
+        return cls(queries, vectors, index, both)
+
+    def pairs(self, profile: N.Profile = N.PROFILES["standard"], k: int = KEPT) -> DataFrame:
+        """``s1``, ``cand``, ``embedding_cosine``, ``rank``: the ``k`` closest records of the same country."""
+        found = N.cell_neighbours(self.queries.where("country <> ''"), self.index, profile, k)
+        named = found.join(self.queries.select("q", F.col("entity_id").alias("s1")), "q").join(self.pool.select("rid", F.col("entity_id").alias("cand")), "rid")
+        return named.select("s1", "cand", F.col("cosine").alias("embedding_cosine"), "rank")
+
+
+def name_vectors(records: DataFrame, encoder: Encoder, bank: DataFrame | None = None) -> DataFrame:
+    """``entity_id`` and the vector of the record's name alone; each distinct name is encoded once, or taken from the bank."""
+    named = records.select("entity_id", F.concat(F.lit("query: "), X.clean_text(F.col("business_name"))).alias("name"))
+    known = bank if bank is not None else encode(records.sparkSession.createDataFrame([], "name string"), encoder, "name")
+    return stage(named.join(with_bank(named, known, encoder), "name").select("entity_id", "vector"), "names")
+
+
+def rescued(records: DataFrame, names: DataFrame, k: int = RESCUED) -> DataFrame:
+    """``s1``, ``cand``, ``name_rank``: for each record of source 1 the ``k`` closest by name among the records without an address.
+
+    The search is exact, within the country.
+    """
+    spare = records.select("source", "entity_id", "business_address", X.norm(F.col("country")).alias("country")).where("country <> ''").join(names, "entity_id")
+    pool = with_dense_id(spare.where((F.col("source") > 1) & X.is_blank(F.col("business_address"))), ["entity_id"], "rid")
+    queries = with_dense_id(spare.where("source = 1"), ["entity_id"], "q")
+    found = N.exact_neighbours(queries.select("country", "q", "vector"), pool.select("country", "rid", "vector"), k)
+    named = found.join(queries.select("q", F.col("entity_id").alias("s1")), "q").join(pool.select("rid", F.col("entity_id").alias("cand")), "rid")
+    return named.select("s1", "cand", F.col("rank").alias("name_rank"))
+
+
+def rescue_features(records: DataFrame, search: Search, encoder: Encoder, profile: N.Profile = N.PROFILES["standard"]) -> DataFrame:
+    """All pairs of the search and the rescue by name, with ``in_baseline``, the features and both cosines."""
+    names = name_vectors(records, encoder)
+    base = search.pairs(profile).select("s1", "cand", F.lit(True).alias("in_baseline"))
+    more = rescued(records, names).select("s1", "cand")
+    both = stage(base.join(more, ["s1", "cand"], "outer").withColumn("in_baseline", F.coalesce("in_baseline", F.lit(False))), "both")
+    s1, others = sides(records)
+    return pair_features(with_cosine(with_cosine(both, search.vectors), names, "name_embedding_cosine"), s1, others)
+
+
+def embedding_features(records: DataFrame, search: Search, profile: N.Profile = N.PROFILES["standard"], k: int = KEPT) -> DataFrame:
+    """Features and ``embedding_cosine`` of the pairs that the search finds."""
+    s1, others = sides(records)
+    return pair_features(search.pairs(profile, k), s1, others)
+
+
+def embedding_matched(records: DataFrame, truth: DataFrame, counts: DataFrame, encoder: Encoder, profile: N.Profile = N.PROFILES["standard"], flat_below: int = N.FLAT_BELOW, threshold: float | None = THRESHOLD, **settings: int) -> tuple[Matcher, DataFrame]:
+    """The selected pipeline: encode, search cells, nineteen features, trees, cutoff, lists of at most 20 by falling score.
+
+    The trees learn from the train split of the records of source 1. Without ``threshold`` it is
+    tuned on the tune split. ``counts``: ``s1``, ``n_true``.
+    """
+    search = Search.build(records, encoder, flat_below)
+    ready = stage(labelled(embedding_features(records, search, profile), truth), "ready")
+    split = splits(counts, records)
+    matcher, _ = fit_and_tune(ready, split, MATCH_FEATURES, **(EMBEDDING | settings))
+    scored = matcher.score(ready).select("s1", "cand", "score")
+    return matcher, lists(records.where("source = 1"), scored, matcher.threshold if threshold is None else threshold, "rank")
+
+
+def ablation(search: Search, s1: DataFrame, others: DataFrame, truth: DataFrame, counts: DataFrame, matcher: Matcher, seed: int = 83, k: int = KEPT) -> DataFrame:
+    """Every ``nprobe`` with every ``overfetch`` of the profiles, in random order, the standard setting before and after them.
+
+    ``run`` (the order), ``nprobe``, ``overfetch``, ``found``, ``recall`` of true links at ``k``, ``macro_f05`` of the
+    fixed matcher and ``seconds`` of the search. Features are made once for the pairs of all runs.
+    """
+    grid = [N.Profile(p, o) for p in sorted(x.nprobe for x in N.PROFILES.values()) for o in sorted(x.overfetch for x in N.PROFILES.values())]
+    standard = N.PROFILES["standard"]
+    settings = [standard, *[grid[i] for i in np.random.default_rng(seed).permutation(len(grid))], standard]
+    runs, seconds = [], []
+    for i, profile in enumerate(settings):
+        began = perf_counter()
+        runs.append(stage(search.pairs(profile, k).select(F.lit(i).alias("run"), "s1", "cand", "embedding_cosine"), "run"))
+        seconds.append((i, profile.nprobe, profile.overfetch, perf_counter() - began))
+    every = runs[0]
+    for more in runs[1:]:
+        every = every.unionByName(more)
+    distinct = every.groupBy("s1", "cand").agg(F.first("embedding_cosine").alias("embedding_cosine"))
+    scored = stage(matcher.score(labelled(pair_features(distinct, s1, others), truth)).select("s1", "cand", "label", "score"), "scored")
+    pairs = every.select("run", "s1", "cand").join(scored, ["s1", "cand"])
+    each = counts.select("s1", "n_true", F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))).alias("run"))
+    found = E.per_business(each, pairs, ("run",)).groupBy("run").agg(F.sum("n_hit").alias("found"), F.when(F.sum("n_true") > 0, F.sum("n_hit") / F.sum("n_true")).otherwise(1.0).alias("recall"))
+    quality = E.macro(E.per_business(each, pairs.where(F.col("score") >= matcher.threshold), ("run",)), ("run",)).select("run", "macro_f05")
+    told = s1.sparkSession.createDataFrame(seconds, "run int, nprobe int, overfetch int, seconds double")
+    return told.join(found, "run").join(quality, "run").select("run", "nprobe", "overfetch", "found", "recall", "macro_f05", "seconds")
+
+
+def splits(counts: DataFrame, records: DataFrame) -> DataFrame:
+    """``s1``, ``n_true``, ``country`` and ``split`` of every record of source 1, stratified by country and whether it stands alone."""
+    countries = records.where("source = 1").select(F.col("entity_id").alias("s1"), "country")
+    rows = counts.select("s1", "n_true").join(countries, "s1").withColumn("lonely", F.col("n_true") == 0)
+    return stage(stratified_split(rows, ["country", "lonely"], id_col="s1").select("s1", "n_true", "country", "split"), "split")
+
+
+def fit_and_tune(ready: DataFrame, split: DataFrame, features: tuple[str, ...], grid: str = "fine", **settings: int) -> tuple[Matcher, DataFrame]:
+    """Fit on the train split and choose the threshold on the tune split; the scored held-out pairs are returned too."""
+    pairs = ready.join(split.select("s1", "split"), "s1")
+    matcher = Matcher.fit(pairs.where("split = 'train'"), features, **settings)
+    held = matcher.score(pairs.where("split <> 'train'")).select("s1", "cand", "label", "split", "score")
+    tuned(matcher, split.where("split = 'tune'").select("s1", "n_true"), held.where("split = 'tune'"), E.threshold_grid(grid))
+    return matcher, held
+
+
+def fit_and_evaluate(pairs: DataFrame, truth: DataFrame, counts: DataFrame, countries: DataFrame, features: tuple[str, ...] = FEATURES, grid: str = "fine", **settings: int) -> tuple[Matcher, DataFrame]:
     """Fit on the train split, choose the threshold on the tune split, read the evaluation split once.
 
     ``pairs`` has the features, ``counts`` (``s1``, ``n_true``) every record, ``countries`` their country.
     """
-    split = stratified_split(counts.join(countries, "s1").withColumn("lonely", F.col("n_true") == 0), ["country", "lonely"], id_col="s1").select("s1", "n_true", "split")
-    ready = labelled(pairs, truth).join(split.select("s1", "split"), "s1")
-    matcher = Matcher.fit(ready.where("split = 'train'"), features, rounds)
-    scored = matcher.score(ready.where("split <> 'train'")).select("s1", "cand", "label", "score", "split")
-    tuned = E.tune(split.where("split = 'tune'").select("s1", "n_true"), scored.where("split = 'tune'"), E.threshold_grid(grid))
-    matcher.threshold = E.best_threshold(tuned).first()["threshold"]
-    final = scored.where((F.col("split") == "evaluation") & (F.col("score") >= matcher.threshold))
+    rows = counts.join(countries, "s1").withColumn("lonely", F.col("n_true") == 0)
+    split = stage(stratified_split(rows, ["country", "lonely"], id_col="s1").select("s1", "n_true", "split"), "split")
+    matcher, held = fit_and_tune(stage(labelled(pairs, truth), "ready"), split, features, grid, **(BASELINE | settings))
+    final = held.where((F.col("split") == "evaluation") & (F.col("score") >= matcher.threshold))
     return matcher, E.macro(E.per_business(split.where("split = 'evaluation'").select("s1", "n_true"), final))
