@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is made and used.
+    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset and driver and executors
+    are one process (tests) a temporary folder is made and used; a cluster without it is an error.
     """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         current = sc._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='entlink-')}"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)
@@ -38,13 +40,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there."""
+def stage(df: DataFrame, name: str, compression: str = "zstd", files: int | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there.
+
+    ``files``: at most so many, for tables that are known to be small for the tasks that make them.
+    Where the folder is of a local file system, files go without checksum files, each of which
+    costs the process two more programs to set its mode.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    plain = {"compression": compression, "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+    (df if files is None else df.coalesce(files)).write.options(**plain).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(spark: SparkSession) -> int:
+    """Files for results that are far smaller than what they are made from: one for 32 shuffle partitions, eight at least."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 32)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,10 +77,6 @@ def need(df: DataFrame, columns: Iterable[str]) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 _STATE: list[Any] = [None, None]
 
 

@@ -9,9 +9,10 @@ to be filled are never drawn, so a signature costs about as much as the document
 
 Bands of the signature give candidates, which the exact multiset overlap confirms. Copies with the
 same words are joined first. In each bucket of a band every member is compared with the least one;
-members found unlike it are compared with all others that are not yet in their class and whose
-signatures are alike enough, and a bucket of copies costs as many pairs as it has members. At a
-similarity of 0.8 that estimate loses a link once in 3 900.
+members found unlike it are compared with all others that are not yet in their class and whose sizes
+allow a link, each pair in the first band that both share. So every pair of one bucket is linked or
+known to be unlike, but for those already in one class, and a bucket of copies costs as many pairs as
+it has members.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import need, stage, table, trim, worker_state
+from .common import few, need, stage, table, trim, worker_state
 from .graph import components
+from .words import word_numbers
 
 WORDS, SIMILARITY = 5, 0.8
 BROADCAST_IDS = 2_000_000  # ids (8 bytes each) that are broadcast at most; more are joined by a shuffle
@@ -36,31 +38,23 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Text number and 64-bit hash of each run of ``words`` words (lower case), sorted; and each text's words.
+    """Text number and 64-bit hash of each run of ``words`` words (lower case), sorted; and each text's words as numbers.
 
     A text of fewer words has one run, of all of them; a null, empty or blank text has none.
     """
-    plain = [b" ".join((x or "").lower().encode("utf-8", "surrogatepass").split()) for x in texts]
-    buf = np.frombuffer(b"\n".join(plain) + b"\n", np.uint8)
-    gaps = np.flatnonzero((buf == 32) | (buf == 10))  # one after each word
-    starts = np.concatenate([[0], gaps[:-1] + 1])
-    prefix = R.prefix_hash(buf.astype(np.uint64) + np.uint64(1))
-    hashes = R.mixed((prefix[gaps] - prefix[starts]) * R.powers(0, len(prefix))[1][starts])
-    line = np.cumsum(buf == 10) - (buf == 10)
-    doc = line[gaps]
-    real = gaps > starts
-    doc, hashes = doc[real], hashes[real]
-    sizes = np.bincount(doc, minlength=len(texts))
-    pre = R.prefix_hash(hashes)
-    runs = R.run_hash(pre, words)
+    sizes, numbers = word_numbers([(x or "").lower().encode("utf-8", "surrogatepass") for x in texts])
+    ends = np.cumsum(sizes)
+    own = [numbers[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    runs = R.run_hash(R.prefix_hash(numbers[:, 0]), words)
     whole = doc[: len(runs)] == doc[words - 1 :] if len(runs) else np.zeros(0, bool)
     owner, values = doc[: len(runs)][whole], runs[whole]
     short = np.flatnonzero((sizes > 0) & (sizes < words))
     if len(short):
-        own = np.array([xxhash.xxh3_64_intdigest(plain[i]) for i in short], np.uint64)
-        owner, values = np.concatenate([owner, short]), np.concatenate([values, own])
+        owner = np.concatenate([owner, short])
+        values = np.concatenate([values, np.array([xxhash.xxh3_64_intdigest(own[i]) for i in short], np.uint64)])
     order = np.lexsort((values, owner))
-    return owner[order], values[order], plain
+    return owner[order], values[order], own
 
 
 def occurrences(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -121,19 +115,19 @@ def _sketch(words: int, count: int, rows: int):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                owner, values, plain = shingles(part.column(1).to_pylist(), words)
+                owner, values, own = shingles(part.column(1).to_pylist(), words)
                 n = part.num_rows
                 keys = bands(signatures(owner, values, n, count * rows), count, rows)
                 filled = np.bincount(owner, minlength=n) > 0
-                prints = [xxhash.xxh3_128_digest(x) if x else None for x in plain]
+                prints = [xxhash.xxh3_128_digest(x) if x else None for x in own]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(filled, count, 0))]).astype(np.int32)), pa.array(keys[filled].reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), lists], names=["doc_id", "print", "bands"])
 
     return run
 
 
-def _elements_and_times(words: int, size: int):
-    """Sorted hashes of (shingle, number of its repeat), so that multiset overlap becomes set overlap; and the signature in 32 bits."""
+def _elements(words: int):
+    """Sorted hashes of (shingle, number of its repeat), so that multiset overlap becomes set overlap; and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(None, lambda: None)
@@ -141,18 +135,16 @@ def _elements_and_times(words: int, size: int):
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 owner, values, _ = shingles(part.column(1).to_pylist(), words)
-                times = R.mixed(signatures(owner, values, part.num_rows, size).view(np.uint64)).astype(np.uint32)
                 values = R.mixed(values + occurrences(owner, values).astype(np.uint64) * _ODD)
                 bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 rows = [np.sort(values[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary()), pa.array([x.tobytes() for x in times], pa.binary())], names=["id", "elements", "times"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary()), pa.array(np.diff(bounds), pa.int64())], names=["id", "elements", "size"])
 
     return run
 
 
-def overlap(a: bytes, b: bytes) -> float:
+def overlap(x: np.ndarray, y: np.ndarray) -> float:
     """Weighted Jaccard similarity of two multisets as ``_elements`` gives them."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) or not len(y):
         return 0.0
     if len(x) > len(y):
@@ -167,45 +159,44 @@ def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
-            same = [overlap(a[i].as_buffer(), b[i].as_buffer()) >= similarity for i in range(batch.num_rows)]
+            same = [overlap(np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)) >= similarity for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["x", "y", "linked"])
 
     return run
 
 
 class _Bucket:
-    """Members of a bucket that meet: which pairs of different classes are likely enough to be compared.
+    """Members of a bucket that meet: which pairs of different classes may be alike.
 
-    A pair is looked at in the first band that both share. Its similarity is estimated from the
-    signatures; a pair of similarity 0.8 falls below the estimate once in 3 900 (binomial, 83 of 125 or fewer).
+    A pair is looked at in the first band that both share. Its similarity is at most the quotient of
+    the sizes, the smaller by the larger.
     """
 
-    def __init__(self, part: pa.Table, similarity: float, count: int, rows: int):
-        self.ids, self.classes, self.query, self.member = (np.array(part.column(c).to_pylist()) for c in ("id", "class_id", "query", "member"))
-        self.times = np.array([np.frombuffer(x, np.uint32) for x in part.column("times").to_pylist()])
-        self.band = part.column("band")[0].as_py()
-        self.count, self.rows = count, rows
-        self.least = similarity - 3.7 * np.sqrt(similarity * (1 - similarity) / (count * rows))
+    def __init__(self, part: pa.Table, similarity: float):
+        self.ids, self.classes, self.outer, self.query, self.member, self.sizes = (part.column(c).to_numpy() for c in ("id", "class_id", "outer", "query", "member", "size"))
+        self.bands = part.column("bands").combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1)
+        self.band, self.similarity = part.column("band")[0].as_py(), similarity
 
     def likely(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Each query with the members to compare it with."""
+        """Each query with the members to compare it with; of two that are both outside the largest class, that of lower id has the other."""
         others = np.flatnonzero(self.member)
         for i in np.flatnonzero(self.query).tolist():
-            far = others[self.classes[others] != self.classes[i]]
-            same = self.times[far] == self.times[i]
-            shared = same.reshape(len(far), self.count, self.rows).all(2)
-            yield i, far[(same.mean(1) >= self.least) & (shared.argmax(1) == self.band) & shared.any(1)] if len(far) else far
+            n = self.sizes[others]
+            far = others[(self.classes[others] != self.classes[i]) & (~self.outer[others] | (self.ids[others] > self.ids[i])) & (np.minimum(n, self.sizes[i]) >= self.similarity * np.maximum(n, self.sizes[i]) * (1 - 1e-12))]
+            if len(far):
+                far = far[~(self.bands[far, : self.band] == self.bands[i, : self.band]).any(1)]
+            yield i, far
 
 
-_MEETING = ("key", "block", "side", "id", "class_id", "query", "member", "band")
+_MEETING = ("key", "block", "side", "id", "class_id", "outer", "query", "member", "band", "size", "bands")
 
 
-def _survivors(similarity: float, count: int, rows: int):
+def _survivors(similarity: float):
     """The rows of a bucket that have somebody to be compared with."""
 
     def run(part: pa.Table) -> pa.Table:
         keep = np.zeros(part.num_rows, bool)
-        for i, far in _Bucket(part, similarity, count, rows).likely():
+        for i, far in _Bucket(part, similarity).likely():
             keep[far] = True
             keep[i] |= len(far) > 0
         return part.select(_MEETING).filter(pa.array(keep))
@@ -213,23 +204,25 @@ def _survivors(similarity: float, count: int, rows: int):
     return run
 
 
-def _compare(similarity: float, count: int, rows: int):
+def _compare(similarity: float):
     """Links between different classes of a bucket, but for those that follow from links found before."""
 
     def run(part: pa.Table) -> pa.Table:
         trim()
-        bucket, elements = _Bucket(part, similarity, count, rows), part.column("elements").to_pylist()
+        bucket = _Bucket(part, similarity)
+        elements = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("elements")]
         links: list[tuple[int, int]] = []
         parent: dict[int, int] = {}
 
         def root(c: int) -> int:
             while (up := parent.get(c, c)) != c:
-                c = up
+                parent[c] = c = parent.get(up, up)
             return c
 
         for i, far in bucket.likely():
+            own = bucket.classes[i].item()
             for j in far.tolist():
-                a, b = root(bucket.classes[i].item()), root(bucket.classes[j].item())
+                a, b = root(own), root(bucket.classes[j].item())
                 if a != b and overlap(elements[i], elements[j]) >= similarity:
                     links.append((int(bucket.ids[i]), int(bucket.ids[j])))
                     parent[a] = b
@@ -245,46 +238,54 @@ def near_duplicate_classes(
 
     A link is a weighted Jaccard similarity of at least ``similarity``; ``class_id`` is the least id
     of the class. Texts without words are alone in their class. A null id counts as the least. Rows
-    that repeat an id are one document. Other columns are ignored; an empty table gives none.
+    that repeat an id have a row each, with the class of their text. Other columns are ignored; an
+    empty table gives none. Texts may be of any length. A pair at the limit is met by some band but
+    once in 20 000; every pair that is met is compared exactly.
     """
     need(docs, [id_col, text_col])
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(R.NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    sketch = stage(source.mapInArrow(_sketch(words, count, rows), "doc_id long, print binary, bands array<long>"), "sketches")
-    copies = sketch.where(F.col("print").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    members = copies.select("rep", F.explode("bands").alias("key"))
+    seen = Observation()
+    sketch = stage(source.mapInArrow(_sketch(words, count, rows), "doc_id long, print binary, bands array<long>").observe(seen, F.count(F.lit(1)).alias("n")), "sketches")
+    n = max(1, seen.get["n"])
+    narrow = -(-n * count // 2_000_000)  # files for a row of a few numbers per document and band
+    copies = stage(sketch.where(F.col("print").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "copies", files=-(-n // 100_000))
+    members = copies.select("rep", F.posexplode("bands").alias("band", "key"))
     leaders = members.groupBy("key").agg(F.min("rep").alias("x"), F.count("rep").alias("n")).where("n > 1")
-    members = stage(members.join(leaders, "key"), "members")
-    pairs = stage(members.where("rep <> x").select("x", F.col("rep").alias("y")).distinct(), "pairs")
+    members = stage(members.join(leaders, "key"), "members", files=narrow)
+    pairs = stage(members.where("rep <> x").select("x", F.col("rep").alias("y")).distinct(), "pairs", files=narrow)
     involved = members.select(F.col("rep").alias("id")).distinct()
     if involved.count() <= BROADCAST_IDS:
         involved = F.broadcast(involved)
-    elements = stage(source.join(involved, "id", "left_semi").mapInArrow(_elements_and_times(words, count * rows), "id long, elements binary, times binary"), "elements")
+    elements = stage(source.join(involved, "id", "left_semi").mapInArrow(_elements(words), "id long, elements binary, size long"), "elements")
 
     one = elements.select(F.col("id").alias("x"), F.col("elements").alias("a"))
     two = elements.select(F.col("id").alias("y"), F.col("elements").alias("b"))
     checked = pairs.join(one, "x").join(two, "y").select("x", "y", "a", "b").mapInArrow(_verify(similarity), "x long, y long, linked boolean")
-    links = stage(checked.where("linked").select("x", "y"), "links")
+    links = stage(checked.where("linked").select("x", "y"), "links", files=few(docs.sparkSession))
 
     found = components(links)
-    placed = members.select("key", F.col("rep").alias("id")).join(found, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("class_id"))
+    placed = members.select("key", "band", F.col("rep").alias("id")).join(found, "id", "left").select("key", "band", "id", F.coalesce("class_id", "id").alias("class_id"))
     per_class = placed.groupBy("key", "class_id").agg(F.count("id").alias("n"))
     mixed = per_class.groupBy("key").agg(F.max_by("class_id", F.struct("n", "class_id")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("rest"), F.count("n").alias("classes")).where("classes > 1")
     # queries are the members outside a bucket's largest class; queries and members meet chunk by chunk
     cut = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / chunk)).withColumn("sides", F.ceil(F.col("rest") / chunk))
+    outer = (F.col("class_id") != F.col("main")).alias("outer")
     own, side = F.pmod(F.xxhash64("id"), F.col("blocks")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("sides"))
-    as_member = cut.select("key", "id", "class_id", F.lit(False).alias("query"), F.lit(True).alias("member"), own.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)).alias("side"))
-    as_query = cut.where("class_id <> main").select("key", "id", "class_id", F.lit(True).alias("query"), F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), side.alias("side"))
-    numbers = copies.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
-    bands_of = numbers.join(mixed.select("key"), "key", "left_semi").groupBy("key").agg(F.min("band").alias("band"))
-    meeting = as_member.unionByName(as_query).groupBy("key", "id", "class_id", "block", "side").agg(F.max("query").alias("query"), F.max("member").alias("member"))
-    told = meeting.join(bands_of, "key").join(elements.select("id", "times"), "id")
-    schema = "key long, block long, side long, id long, class_id long, query boolean, member boolean, band int"
-    likely = stage(told.groupBy("key", "block", "side").applyInArrow(_survivors(similarity, count, rows), schema), "likely")
-    more = likely.join(elements, "id").groupBy("key", "block", "side").applyInArrow(_compare(similarity, count, rows), "x long, y long")
-
-    classes = components(links.unionByName(stage(more, "links")))
-    named = copies.select("print", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("class_id", "rep").alias("class_id"))
-    out = sketch.select("doc_id", "print").join(named, "print", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    as_member = cut.select("key", "band", "id", "class_id", outer, F.lit(False).alias("query"), F.lit(True).alias("member"), own.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)).alias("side"))
+    as_query = cut.where(outer).select("key", "band", "id", "class_id", outer, F.lit(True).alias("query"), F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), side.alias("side"))
+    meeting = as_member.unionByName(as_query).groupBy("key", "block", "side", "id", "class_id", "outer").agg(F.min("band").alias("band"), F.max("query").alias("query"), F.max("member").alias("member"))
+    facts = elements.select("id", "size").join(copies.select(F.col("rep").alias("id"), "bands"), "id")
+    schema = "key long, block long, side long, id long, class_id long, outer boolean, query boolean, member boolean, band int, size long, bands array<long>"
+    likely = stage(meeting.join(facts, "id").groupBy("key", "block", "side").applyInArrow(_survivors(similarity), schema), "likely", files=few(docs.sparkSession))
+    more = likely.join(elements.select("id", "elements"), "id").groupBy("key", "block", "side").applyInArrow(_compare(similarity), "x long, y long")
+
+    # what was linked before is one node now
+    ends = stage(more, "links", files=few(docs.sparkSession)).join(found.select(F.col("id").alias("x"), F.col("class_id").alias("cx")), "x", "left").join(found.select(F.col("id").alias("y"), F.col("class_id").alias("cy")), "y", "left")
+    joined = components(ends.select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"))).withColumnRenamed("class_id", "whole")
+    named = copies.select("print", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("class_id", "rep").alias("class_id"))
+    named = named.join(joined.withColumnRenamed("id", "class_id"), "class_id", "left").select("print", F.coalesce("whole", "class_id").alias("class_id"))
+    worded = sketch.where(F.col("print").isNotNull()).select("doc_id", "print").join(named, "print").select("doc_id", "class_id")
+    out = worded.unionByName(sketch.where(F.col("print").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
     return out.select(F.nullif("doc_id", F.lit(R.NULL_ID)).alias("doc_id"), F.nullif("class_id", F.lit(R.NULL_ID)).alias("class_id"))
 
 
