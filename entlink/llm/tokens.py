@@ -26,19 +26,25 @@ _ODD = re.compile("[" + "".join(map(chr, [0x9, 0xB, 0xC, 0xD, *range(0x1C, 0x20)
 _WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
 
 
+_LONG = 64  # characters of a piece that is not kept
+
+
 class _Memo(dict):
     def __init__(self, learn: Callable[[str], bytes]):
         self.learn = learn
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = self.learn(piece)
+        ids = self.learn(piece)
+        if len(piece) <= _LONG:
+            self[piece] = ids
         return ids
 
 
 class Encoder:
     """``encode(texts)`` gives for each text its ids as little-endian unsigned 16- or 32-bit integers.
 
-    The memo has two generations of ``memo_size`` words; the older goes when the newer is full.
+    The memo has two generations of ``memo_size`` pieces of at most 64 characters, the older of which
+    goes when the newer is full, so it stays below about 120 MB; longer pieces are encoded each time.
     """
 
     def __init__(self, path: str, memo_size: int = 250_000):
@@ -86,6 +92,9 @@ class Encoder:
     def _learn(self, piece: str) -> bytes:
         if (ids := self.old.get(piece)) is not None:
             return ids
+        if piece.isascii() and piece.isalpha():
+            word = piece.lower() if self.word_end else self.space + piece
+            return array(self.code, [x.id for x in self.model.tokenize(word if self.word_end else word.translate(self.letters))]).tobytes()
         line = piece[:1] == "\n"
         if not (m := _WORD.fullmatch(piece, line)):
             return self._whole([piece if line else self.space + piece])[0]
