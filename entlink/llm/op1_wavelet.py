@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import need, partitions, stage, table
+from .common import need, stage, table
 from .tokens import encoder
 
 MAGIC = b"WVM1"
@@ -93,11 +93,16 @@ class WaveletMatrix:
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """Place of the ``k``-th (from 0) ``bit`` of a plane."""
-        ranks, plane = self.ranks[level].astype(np.int64), self.planes[level]
-        before = ranks if bit else np.arange(len(ranks)) * _BLOCK - ranks
-        block = int(np.searchsorted(before, k, "right")) - 1
-        part = np.unpackbits(plane[block * (_BLOCK // 8) : (block + 1) * (_BLOCK // 8)], bitorder="little")
-        return block * _BLOCK + int(np.flatnonzero(part == bit)[k - int(before[block])])
+        ranks, plane, low, high, first = self.ranks[level], self.planes[level], 0, len(self.ranks[level]) - 1, 0
+        while high - low > 1:  # the last block before which there are no more than k
+            mid = (low + high) // 2
+            before = int(ranks[mid]) if bit else mid * _BLOCK - int(ranks[mid])
+            if before <= k:
+                low, first = mid, before
+            else:
+                high = mid
+        part = np.unpackbits(plane[low * (_BLOCK // 8) : (low + 1) * (_BLOCK // 8)], bitorder="little")
+        return low * _BLOCK + int(np.flatnonzero(part == bit)[k - first])
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
@@ -155,17 +160,19 @@ _SHARDS = "part int, seq int, part_start long, doc_ids array<long>, lengths arra
 _SHARD_FIELDS = [("part", pa.int32()), ("seq", pa.int32()), ("part_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("shard", pa.binary())]
 
 
-def wavelet_shards(docs: DataFrame, vocabulary: str, end_id: int | None = 2, shard_tokens: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def wavelet_shards(docs: DataFrame, vocabulary: str, end_id: int | None = 2, shard_tokens: int = 1 << 18, range_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shards of about ``shard_tokens`` ids, documents in ascending id order, written to the shared folder.
 
+    Each task takes a range of ids with about ``range_bytes`` of text.
+
     A null text has no ids of its own, only the end id; a null document id comes first; rows that
     repeat an id follow in text order; a longer document has a shard of its own, whole. Other
     columns are ignored. Columns: ``part`` and ``seq`` (the order of shards), ``part_start`` (ids
     of the part before the shard), ``doc_ids``, ``lengths``, ``shard`` (the bytes).
     """
     need(docs, [id_col, text_col])
-    spark = docs.sparkSession
-    ordered = docs.select(F.col(id_col).cast("long"), text_col).repartitionByRange(partitions(spark), id_col).sortWithinPartitions(id_col, text_col)
+    ranges = max(1, -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // range_bytes))
+    ordered = docs.select(F.col(id_col).cast("long"), text_col).repartitionByRange(ranges, id_col).sortWithinPartitions(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(vocabulary), TaskContext.get().partitionId()
