@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, need, table, worker_state
+from .common import held_out, need, table, trim, worker_state
 
 _RUNS = re.compile(r"[^\W\d_]+")  # letters, and numerals such as a half that are no decimal digits
 UNKNOWN = "und"
@@ -182,7 +182,11 @@ def fit_language_model(docs: DataFrame, train_docs: int = 4000, id_col: str = "d
     counts: dict[str, Counter] = {}
     for lang, word, n in zip(*(c.to_pylist() for c in words.columns), strict=True):
         counts.setdefault(lang, Counter())[word] = n
-    return LanguageModel(counts)
+    del words
+    model = LanguageModel(counts)
+    del counts
+    trim()
+    return model
 
 
 def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import need, stage, table
+from .common import few, need, stage, table
 
 WINDOW, COVERAGE, CONSISTENCY = 5, 0.8, 0.8
 DRIFT = 5  # words by which parts of a held item may be displaced
@@ -190,7 +190,7 @@ def contaminated(
     at = hashed.select("item_id", F.size("windows").alias("n_windows"), F.posexplode("windows").alias("q", "hash"))
     also = hashed.where("first is not null").select("item_id", F.size("windows").alias("n_windows"), F.lit(0).alias("q"), F.col("first").alias("hash"))
     plain = at.unionByName(also).withColumn("mode", F.lit(PLAIN))
-    bench = stage(plain.unionByName(_wide_windows(items, window)).distinct(), "windows")
+    bench = stage(plain.unionByName(_wide_windows(items, window)).distinct(), "windows", files=few(docs.sparkSession))
     if bench.count() <= BROADCAST_ROWS:
         probe = F.broadcast(bench)
     else:
@@ -210,7 +210,7 @@ def contaminated(
     nearest = F.min(F.struct(F.abs(F.col("shift") - F.col("best")), "shift"))
     matched = at_place.groupBy("doc_id", "item_id", "mode", "n_windows", "q").agg(nearest["shift"].alias("shift"))
     counted = matched.withColumn("n_matched", F.count("q").over(pair)).where(F.col("n_matched") >= F.lit(coverage) * F.col("n_windows"))
-    held_windows = stage(counted.withColumn("least", F.min("mode").over(Window.partitionBy("doc_id", "item_id"))).where("mode = least").drop("least"), "held")
+    held_windows = stage(counted.withColumn("least", F.min("mode").over(Window.partitionBy("doc_id", "item_id"))).where("mode = least").drop("least"), "held", files=few(docs.sparkSession))
     close = held_windows.select("doc_id", "item_id", "mode", "n_windows", "n_matched").distinct()
 
     # the slots of a window that is met are aligned by that window's shift
