@@ -39,3 +39,14 @@ def docs(spark, corpus):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string")
+
+
+@pytest.fixture(scope="session")
+def folder(spark, corpus, tmp_path_factory):
+    base = tmp_path_factory.mktemp("sf")
+    rows = [(i, t.lower() if t else t, "en", f"src{i % 20}", len(t or "")) for i, t in corpus if i != 101]
+    items = [(1, rows[3][1]), (2, " ".join((dict((r[0], r[1]) for r in rows)[100] or "").split()[500:530])), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{base}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"file://{base}/benchmark.parquet")
+    spark.createDataFrame([(r[0], r[0] % 2) for r in rows if r[0] % 3], "doc_id long, quality int").write.parquet(f"file://{base}/labels.parquet")
+    return f"file://{base}", [(r[0], r[1]) for r in rows], items

@@ -1,8 +1,10 @@
 """Language and quality models, templates, sharding, media and the pipeline."""
 
+import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 from pathlib import Path
 
 import duckdb
@@ -14,7 +16,7 @@ from entlink.llm import op6_matroska as M
 from entlink.llm import op8_templates as T
 from entlink.llm.op4_language import LanguageModel, fit_language_model, identify_language
 from entlink.llm.op5_quality import QualityModel, dual_coordinate_descent, fit_quality_model, score_quality, shape
-from entlink.llm.op7_sharding import hypergeometric, matrix_row, shard_uniformly
+from entlink.llm.op7_sharding import _log_binomial, dealer, hypergeometric, matrix_row, shard_uniformly
 
 DATA = Path("/root/testdata/sf0.01")
 have_data = pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")
@@ -160,9 +162,44 @@ def test_communication_matrix():
     assert abs(np.mean(draws) - 750) < 5 and abs(np.std(draws) - np.sqrt(1000 * 0.75 * 0.25)) < 2.5
 
 
-@pytest.mark.parametrize(("stable", "per_cell"), [(True, 50_000), (False, 7)])
+def test_large_hypergeometric_law_is_exact():
+    for n, k, p in ((40, 13, 0.3), (10_000, 3_000, 0.31), (10**6, 10, 1e-5), (5, 0, 0.2), (7, 7, 0.9)):
+        exact = math.log(math.comb(n, k)) + k * math.log(p) + (n - k) * math.log1p(-p)
+        assert abs(_log_binomial(k, n, p, 1 - p) - exact) < 1e-9 * max(1, abs(exact))
+    good, bad, draws = 3 * 10**13, 10**13, 4000  # the mode and its neighbours, against integers
+    p, q = draws / (good + bad), (good + bad - draws) / (good + bad)
+    for k in (2990, 3000, 3010):
+        mine = _log_binomial(k, good, p, q) + _log_binomial(draws - k, bad, p, q) - _log_binomial(draws, good + bad, p, q)
+        exact = Fraction(math.perm(good, k) * math.perm(bad, draws - k) * math.comb(draws, k), math.perm(good + bad, draws))
+        assert abs(math.exp(mine) / float(exact) - 1) < 1e-6
+
+
+def test_sharding_law(spark):
+    """Over many seeds each row is in each shard and at each place about equally often."""
+    df = spark.createDataFrame([(i,) for i in range(12)], "doc_id long").repartition(4).cache()
+    df.count()
+    shards, slots, n = Counter(), Counter(), 60
+    for seed in range(n):
+        for r in shard_uniformly(df, 3, seed=seed, stable_input=True).collect():
+            shards[r.doc_id, r.shard] += 1
+            slots[r.doc_id, r.slot] += 1
+    for seen, cells, degrees in ((shards, 36, 22), (slots, 48, 33)):  # chi-squares of two-way tables with given margins
+        even = n * 12 / cells
+        assert sum((seen[k] - even) ** 2 / even for k in ((i, j) for i in range(12) for j in range(cells // 12))) < degrees + 5 * math.sqrt(2 * degrees)
+
+
+def test_sharding_notices_a_changed_input(spark):
+    """Rows that are missing are noticed like rows that are new."""
+    rows, sizes = spark.range(40).coalesce(1), np.array([20, 20])
+    assert sum(r.n for r in rows.mapInArrow(dealer(np.array([40]), sizes, 3, 1, ["_cell", "n"], False), "_cell int, n long").collect()) == 40
+    for n in (39, 41):
+        with pytest.raises(Exception, match="input changed"):
+            rows.mapInArrow(dealer(np.array([n]), np.array([n - 20, 20]), 3, 1, ["_cell", "n"], False), "_cell int, n long").collect()
+
+
+@pytest.mark.parametrize(("stable", "per_cell"), [(True, 1 << 24), (False, 500)])
 def test_sharding(docs, corpus, empty, stable, per_cell):
-    rows = shard_uniformly(docs, 8, rows_per_cell=per_cell, stable_input=stable).collect()
+    rows = shard_uniformly(docs, 8, cell_bytes=per_cell, stable_input=stable).collect()
     assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((i, t or "") for i, t in corpus)
     sizes = Counter(r.shard for r in rows)
     assert max(sizes.values()) - min(sizes.values()) <= 1 and all(sorted(r.slot for r in rows if r.shard == s) == list(range(n)) for s, n in sizes.items())
@@ -186,6 +223,23 @@ def test_matroska_round_trip(mixed):
         M.parse(data[:-3] if frames else b"\x00")
 
 
+def test_matroska_damage_is_a_value_error():
+    rng = random.Random(3)
+    whole = [M.mux([rng.randbytes(n) for n in (3, 300, 70, 70, 5)], per_block=3, mixed=k) for k in (M.XIPH_LACING, M.EBML_LACING)]
+    bad = [M.element(M.SEGMENT, M.element(M.TRACKS, M.element(M.TRACK_ENTRY, M.uint(M.TRACK_UID, 1)))), M.element(M.SEGMENT, M.element(M.CLUSTER, M.element(M.SIMPLE_BLOCK, b"\x81\x00"))), M.element(M.SEGMENT, M.element(M.CLUSTER, M.element(M.SIMPLE_BLOCK, b"\x81\x00\x00\x02\x05\xff")))]
+    for data in bad:
+        with pytest.raises(ValueError):
+            M.parse(data)
+    for _ in range(3000):
+        data = bytearray(rng.choice(whole))
+        for _ in range(rng.randint(1, 4)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        try:
+            M.parse(bytes(data[: rng.randint(0, len(data))] if rng.random() < 0.5 else data))
+        except ValueError:
+            pass
+
+
 def test_matroska_unknown_sizes_and_groups():
     block = b"\x81\x00\x05\x00" + b"abc"
     group = M.element(M.BLOCK_GROUP, M.element(M.BLOCK, block) + M.uint(M.BLOCK_DURATION, 9))

@@ -2,7 +2,6 @@
 
 import numpy as np
 import public_tokenizers
-import pytest
 
 import corpus_pipeline
 from entlink.llm.tokens import Encoder
@@ -11,16 +10,6 @@ from .test_dedup import plain_bytes, plain_classes
 from .test_models import plain_templates
 
 
-@pytest.fixture(scope="session")
-def folder(spark, corpus, tmp_path_factory):
-    base = tmp_path_factory.mktemp("sf")
-    rows = [(i, t.lower() if t else t, "en", f"src{i % 20}", len(t or "")) for i, t in corpus if i != 101]
-    items = [(1, rows[3][1]), (2, " ".join((dict((r[0], r[1]) for r in rows)[100] or "").split()[500:530])), (3, None)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{base}/documents.parquet")
-    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"file://{base}/benchmark.parquet")
-    return f"file://{base}", [(r[0], r[1]) for r in rows], items
-
-
 def test_stages(spark, folder, tmp_path):
     path, rows, items = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
@@ -56,3 +45,29 @@ def test_empty(spark, folder):
     for _, step in corpus_pipeline.STAGES:
         out = step(spark, docs, path)
         assert out.count() == 0
+
+
+def test_rows_without_an_id_of_their_own(spark, folder, corpus):
+    """Null and repeated ids, clashing names: rows are judged one by one, and none goes for another's sake."""
+    path, rows, items = folder
+    texts = dict(rows)
+    odd = [(None, texts[5]), (None, texts[7]), (None, texts[5]), (9, texts[9] + " and some more words"), (9, texts[11]), (9, texts[11]), (None, dict(items)[1] + " " + texts[12]), (12, texts[12])]
+    odd = [(i, t, "en", 0, 0.5, "x", "y", True, k) for k, (i, t) in enumerate(odd)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, n_chars long, score double, lang_pred string, kept_text string, held boolean, `key` int")
+    columns = docs.columns
+    out = corpus_pipeline.language(spark, docs, path)
+    assert out.columns == columns and sorted(map(repr, out.collect())) == sorted(map(repr, docs.collect()))
+    out = corpus_pipeline.near_duplicates(spark, docs, path)
+    kept = sorted((r.doc_id is None, r.text) for r in out.collect())
+    distinct = {(i is None, t) for i, t, *_ in odd}
+    assert out.columns == columns and len(kept) == len(set(kept)) and set(kept) <= distinct
+    classes = plain_classes(list(enumerate(sorted({t for _, t, *_ in odd}))))
+    assert len(kept) == len(set(classes.values()))
+    out = corpus_pipeline.repeated_bytes(spark, docs, path)
+    cut = {r.key: (r.doc_id, r.text, r.n_chars, r.score, r.held) for r in out.collect()}
+    assert out.columns == columns and len(cut) == len(odd) and all(cut[k][0] == odd[k][0] and cut[k][2] == len(cut[k][1]) and cut[k][3:] == (0.5, True) for k in range(len(odd)))
+    assert cut[0][1] == texts[5] and cut[4][1] == texts[11]
+    out = corpus_pipeline.decontamination(spark, docs, path)
+    bad = {k for k in range(len(odd)) if plain_templates([(0, odd[k][1])], items)}
+    assert out.columns == columns and {r.key for r in out.collect()} == set(range(len(odd))) - bad and bad
+    assert corpus_pipeline.packing(spark, docs, path).where("piece = 0").count() == len(odd)

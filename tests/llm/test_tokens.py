@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from entlink.llm.op1_wavelet import WaveletMatrix, decode_shards, wavelet_shards
-from entlink.llm.op3_packing import best_fit_decreasing, lower_bound, pack, packed_sequences, tokenized_pieces
+from entlink.llm.op3_packing import best_fit_decreasing, certificate, lower_bound, pack, packed_sequences, tokenized_pieces
+from entlink.llm.queries import QUERIES
 from entlink.llm.tokens import Encoder
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -98,8 +99,91 @@ def test_packing(docs, corpus, empty):
             at += n
         assert at <= 256
     lengths = np.array([r.length for r in rows])
-    assert lower_bound(lengths, 256) <= len(by_sequence) <= len(best_fit_decreasing(lengths, 256)[2]) + 2
+    made = certificate(packed, 256).first()
+    assert made.sequences == len(by_sequence) and lower_bound(lengths, 256) == made.bound <= made.sequences
     assert packed_sequences(packed).where(F.col("n_tokens") * 4 != F.octet_length("ids")).count() == 0
     assert pack(tokenized_pieces(empty, BYTE)).count() == 0
     with pytest.raises(Exception, match="out of range"):
         pack(pieces.withColumn("length", F.lit(None).cast("long"))).count()
+
+
+def least_bins(lengths, capacity):
+    """By trying all placements, largest first, equal rooms once."""
+    best = len(lengths)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for k, room in enumerate(rooms):
+            if room >= lengths[i] and room not in rooms[:k]:
+                place(i + 1, [*rooms[:k], room - lengths[i], *rooms[k + 1 :]])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_bounds_and_certificates_against_all_packings(spark):
+    rng = random.Random(11)
+    for _ in range(150):
+        capacity = rng.choice([7, 10, 12])
+        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(1, 9))]
+        assert lower_bound(np.array(lengths), capacity) <= least_bins(lengths, capacity) <= len(best_fit_decreasing(np.array(lengths), capacity)[2])
+    claims = 0
+    for seed in range(4):
+        rng = random.Random(seed)
+        df = spark.createDataFrame([(i, rng.randint(2, 10)) for i in range(40)], "key long, length int")
+        rows = pack(df, 10, group_size=9).collect()
+        assert sorted((r.key, r.length) for r in rows) == sorted(tuple(r) for r in df.collect())
+        by_group = {}
+        for r in rows:
+            if r.certified:
+                by_group.setdefault(r.sequence_id if r.sequence_id < 0 else r.sequence_id >> 24, []).append(r)
+        for own in by_group.values():  # what was kept together is as few as can be
+            claims += 1
+            assert len({r.sequence_id for r in own}) == least_bins([r.length for r in own], 10)
+    assert claims > 4
+
+
+def test_exchange_saves_bins_until_none_is_saved(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, rng.randint(300, 900)) for i in range(3000)], "key long, length int").cache()
+    lengths = np.array([r.length for r in df.collect()])
+    made = certificate(pack(df, 1000, group_size=50), 1000).first()
+    apart = sum(len(best_fit_decreasing(lengths[i : i + 50], 1000)[2]) for i in range(0, 3000, 50))
+    assert made.bound <= made.sequences < apart and made.sequences <= 1.05 * len(best_fit_decreasing(lengths, 1000)[2])
+    with pytest.raises(ValueError, match="clash"):
+        pack(df.withColumn("offset", F.lit(1)))
+
+
+@pytest.mark.parametrize("query", ["op1_wavelet", "op3_packing"])
+def test_token_queries(spark, folder, query):
+    """The contract's columns, from a folder with null and empty texts, against the library."""
+    path, rows, _ = folder
+    got = QUERIES[query](spark, path)
+    if query == "op1_wavelet":
+        assert got.columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"] and [t for _, t in got.dtypes[:4]] == ["bigint"] * 4
+        enc, at, want = Encoder(WORD), 0, {}
+        for i, t in sorted(rows):
+            ids = np.array([*np.frombuffer(direct(enc, t), enc.dtype).tolist(), 2], "<u4")
+            want[i], at = (at, len(ids), zlib.crc32(ids.tobytes())), at + len(ids)
+        assert {r.doc_id: tuple(r[1:4]) for r in got.collect()} == want
+        return
+    assert got.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and [t for _, t in got.dtypes[:7]] == ["bigint", "int", *["bigint"] * 5]
+    enc, want, filled = Encoder(BYTE), [], {}
+    for i, t in rows:
+        ids = np.array([*np.frombuffer(direct(enc, t), enc.dtype).tolist(), 0], "<u4")
+        cuts = [0, *range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)]
+        want += [(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    found = got.collect()
+    assert sorted(tuple(r[:5]) for r in found) == sorted(want)
+    for r in found:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in filled.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [a for a, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 2048
