@@ -89,6 +89,13 @@ def merge_shards(spark: SparkSession, path: str, size: int = SHARD) -> DataFrame
     return both.select("place", checked.alias("s1"), "candidates", "matches")
 
 
+def write_diagnostics(tuned: DataFrame, held: DataFrame, path: str) -> None:
+    """Tab-separated files of the tried thresholds and of the scored pairs outside the train split."""
+    options = {"sep": "\t", "header": True, "emptyValue": ""}
+    tuned.orderBy("threshold").coalesce(1).write.options(**options).mode("overwrite").csv(f"{path}/thresholds")
+    held.where("split <> 'train'").select("s1", "cand", "split", "label", "score").write.options(**options).mode("overwrite").csv(f"{path}/heldout_pair_scores")
+
+
 def candidate_histogram(rows: DataFrame) -> DataFrame:
     """Number of records by the length of their candidate list."""
     return rows.groupBy(F.size("candidates").cast("long").alias("size")).agg(F.count("s1").alias("n"))

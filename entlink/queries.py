@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entlink.functions import text as X
-from entlink.functions import vectors as V
 from entlink.operators import blocking as B
 from entlink.operators import evaluation as E
 from entlink.operators import export as O

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,7 +61,7 @@ def listed(spark: SparkSession, path: str) -> list[str]:
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
-    """Written beside its place and renamed, so that a reader sees the old file or the new one."""
+    """Written beside its place and put there by one rename that overwrites, so that a reader sees the old file or the new one."""
     beside = f"{path}.{uuid.uuid4().hex}.tmp"
     fs, there = _fs(spark, beside)
     stream = fs.create(there, True)
@@ -67,10 +69,11 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
         stream.write(bytearray(text.encode("utf-8")))
     finally:
         stream.close()
-    _, target = _fs(spark, path)
-    fs.delete(target, False)
-    if not fs.rename(there, target):
-        raise OSError(f"{path} could not be written")
+    sc, hadoop = spark.sparkContext, spark.sparkContext._jvm.org.apache.hadoop.fs
+    how = getattr(hadoop, "Options$Rename")
+    options = sc._gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE
+    hadoop.FileContext.getFileContext(there.toUri(), sc._jsc.hadoopConfiguration()).rename(there, hadoop.Path(path), options)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -85,6 +88,13 @@ def read_json(spark: SparkSession, path: str) -> object:
     return json.loads(read_text(spark, path))
 
 
+def fingerprint(spark: SparkSession, path: str, settings: object = None) -> str:
+    """One digest of all files below ``path`` (names and contents, each below 2 GB) and of the settings."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("digest"))
+    parts = sorted((r.path.removeprefix(path), r.digest) for r in files.collect())
+    return hashlib.sha256(json.dumps([parts, settings], sort_keys=True).encode()).hexdigest()
+
+
 def discover(spark: SparkSession, roots: list[str], marker: str, required: tuple[str, ...] = ()) -> str:
     """The one folder below ``roots`` that holds ``marker`` and all required files; else an error."""
     found = set()

@@ -14,7 +14,7 @@ from entlink.operators.features import FEATURES, check_finite, pair_features
 from entlink.operators.matching import Matcher, compare_arms, estimated_hours, promote, select_model, throughput
 from entlink.plans.pipelines import fit_and_evaluate, matched
 from entlink.sources import records as D
-from entlink.sources.scratch import discover, read_json, write_json
+from entlink.sources.scratch import discover, fingerprint, read_json, write_json
 
 # One bakery in two sources, under one roof with another unit; its twin in another country; a shop without an address.
 BAKERY = [
@@ -168,6 +168,16 @@ def test_small_files(spark, tmp_path):
         discover(spark, [base], "facts.json")
     with pytest.raises(FileNotFoundError):
         discover(spark, [f"{base}/nowhere"], "facts.json")
+    prints = [fingerprint(spark, f"{base}/one"), fingerprint(spark, f"{base}/two"), fingerprint(spark, f"{base}/one", {"k": 1})]
+    assert len(set(prints)) == 3 and fingerprint(spark, f"{base}/one") == prints[0]
+
+
+def test_diagnostics(spark, tmp_path):
+    tuned = spark.createDataFrame([(0.2, 0.5), (0.1, 0.4)], "threshold double, macro_f05 double")
+    held = spark.createDataFrame([("a", "b", "train", 1, 0.5), ("c", "d", "tune", 0, 0.25)], "s1 string, cand string, split string, label int, score double")
+    O.write_diagnostics(tuned, held, f"file://{tmp_path}/d")
+    lines = {n: [x for f in sorted((tmp_path / "d" / n).glob("*.csv")) for x in f.read_text().splitlines()] for n in ("thresholds", "heldout_pair_scores")}
+    assert lines["thresholds"] == ["threshold\tmacro_f05", "0.1\t0.4", "0.2\t0.5"] and "c\td\ttune\t0\t0.25" in lines["heldout_pair_scores"] and not any(x.startswith("a\t") for x in lines["heldout_pair_scores"])
 
 
 def test_truth_checks(spark):
