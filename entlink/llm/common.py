@@ -53,9 +53,9 @@ def stage(df: DataFrame, name: str, compression: str = "zstd", files: int | None
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def few(spark: SparkSession) -> int:
-    """Files for results that are far smaller than what they are made from: one for 32 shuffle partitions, eight at least."""
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 32)
+def few(spark: SparkSession, share: int = 32) -> int:
+    """Files for results that are far smaller than what they are made from: one for ``share`` shuffle partitions, eight at least."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -334,14 +334,14 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, span: int = SPA
     """
     need(docs, [id_col, text_col])
     blocks, segments = R.blocks_of(docs, id_col, text_col, keep)
-    grouped, whole = blocks.drop("rest").groupBy("key"), blocks.groupBy("key")
+    grouped = blocks.groupBy("key")  # one exchange, read by all three stages
     sketches = grouped.applyInArrow(_send(length, span, segments), R.MESSAGE)
     estimates = sketches.groupBy("key").applyInArrow(lambda part: R.merge_sketches(part, HOT), R.MESSAGE)
     offers = grouped.cogroup(estimates.groupBy("key")).applyInArrow(_offer(length, span, segments), R.MESSAGE)
     verdicts = offers.groupBy("key").applyInArrow(_sort_part(length), R.MESSAGE)
     last = "kept_text" if keep_text else "kept_sha256"
     fields = [*[T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")], T.StructField(last, T.StringType()), *([blocks.schema["rest"]] if keep else [])]
-    return whole.cogroup(estimates.unionByName(verdicts).groupBy("key")).applyInArrow(_remove(length, span, segments, keep_text), T.StructType(fields))
+    return grouped.cogroup(estimates.unionByName(verdicts).groupBy("key")).applyInArrow(_remove(length, span, segments, keep_text), T.StructType(fields))
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

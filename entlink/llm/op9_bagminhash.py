@@ -261,7 +261,7 @@ def near_duplicate_classes(
     one = elements.select(F.col("id").alias("x"), F.col("elements").alias("a"))
     two = elements.select(F.col("id").alias("y"), F.col("elements").alias("b"))
     checked = pairs.join(one, "x").join(two, "y").select("x", "y", "a", "b").mapInArrow(_verify(similarity), "x long, y long, linked boolean")
-    links = stage(checked.where("linked").select("x", "y"), "links", files=few(docs.sparkSession))
+    links = stage(checked.where("linked").select("x", "y"), "links", files=few(docs.sparkSession, 4))
 
     found = components(links)
     placed = members.select("key", "band", F.col("rep").alias("id")).join(found, "id", "left").select("key", "band", "id", F.coalesce("class_id", "id").alias("class_id"))
@@ -276,11 +276,11 @@ def near_duplicate_classes(
     meeting = as_member.unionByName(as_query).groupBy("key", "block", "side", "id", "class_id", "outer").agg(F.min("band").alias("band"), F.max("query").alias("query"), F.max("member").alias("member"))
     facts = elements.select("id", "size").join(copies.select(F.col("rep").alias("id"), "bands"), "id")
     schema = "key long, block long, side long, id long, class_id long, outer boolean, query boolean, member boolean, band int, size long, bands array<long>"
-    likely = stage(meeting.join(facts, "id").groupBy("key", "block", "side").applyInArrow(_survivors(similarity), schema), "likely", files=few(docs.sparkSession))
+    likely = stage(meeting.join(facts, "id").groupBy("key", "block", "side").applyInArrow(_survivors(similarity), schema), "likely", files=few(docs.sparkSession, 4))
     more = likely.join(elements.select("id", "elements"), "id").groupBy("key", "block", "side").applyInArrow(_compare(similarity), "x long, y long")
 
     # what was linked before is one node now
-    ends = stage(more, "links", files=few(docs.sparkSession)).join(found.select(F.col("id").alias("x"), F.col("class_id").alias("cx")), "x", "left").join(found.select(F.col("id").alias("y"), F.col("class_id").alias("cy")), "y", "left")
+    ends = stage(more, "links", files=few(docs.sparkSession, 4)).join(found.select(F.col("id").alias("x"), F.col("class_id").alias("cx")), "x", "left").join(found.select(F.col("id").alias("y"), F.col("class_id").alias("cy")), "y", "left")
     joined = components(ends.select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"))).withColumnRenamed("class_id", "whole")
     named = copies.select("print", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("class_id", "rep").alias("class_id"))
     named = named.join(joined.withColumnRenamed("id", "class_id"), "class_id", "left").select("print", F.coalesce("whole", "class_id").alias("class_id"))
