@@ -58,6 +58,17 @@ def few(spark: SparkSession, share: int = 32) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches have ``rows`` rows at most, unless the session has set a number of its own.
+
+    Whole texts travel in them: of 10 000 long ones a batch would take hundreds of megabytes, in
+    the JVM and in Python.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

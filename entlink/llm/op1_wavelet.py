@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import need, stage, table
+from .common import need, stage, table, text_batches
 from .tokens import encoder
 
 MAGIC = b"WVM1"
@@ -171,6 +171,7 @@ def wavelet_shards(docs: DataFrame, vocabulary: str, end_id: int | None = 2, sha
     of the part before the shard), ``doc_ids``, ``lengths``, ``shard`` (the bytes).
     """
     need(docs, [id_col, text_col])
+    text_batches(docs.sparkSession)
     ranges = max(1, -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // range_bytes))
     ordered = docs.select(F.col(id_col).cast("long"), text_col).repartitionByRange(ranges, id_col).sortWithinPartitions(id_col, text_col)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import need, stage, table
+from .common import need, stage, table, text_batches
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -149,6 +149,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity
     columns are ignored.
     """
     need(docs, [id_col, text_col])
+    text_batches(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

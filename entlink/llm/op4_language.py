@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, need, table, trim, worker_state
+from .common import held_out, need, table, text_batches, trim, worker_state
 
 _RUNS = re.compile(r"[^\W\d_]+")  # letters, and numerals such as a half that are no decimal digits
 UNKNOWN = "und"
@@ -199,6 +199,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
     need(docs, [text_col])
     if clash := {"lang_pred", "score"} & set(docs.columns):
         raise ValueError(f"columns would clash: {sorted(clash)}")
+    text_batches(docs.sparkSession)
     at, token, packed = docs.columns.index(text_col), model.token, zlib.compress(pickle.dumps(model), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, need, table, worker_state
+from .common import held_out, need, table, text_batches, worker_state
 from .op4_language import sample_rows
 
 PLACES = 1 << 18  # hashed features; place 0 is the bias
@@ -200,6 +200,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     need(docs, [text_col])
     if clash := {"score", "predicted"} & set(docs.columns):
         raise ValueError(f"columns would clash: {sorted(clash)}")
+    text_batches(docs.sparkSession)
     at, token, packed = docs.columns.index(text_col), model.token, zlib.compress(pickle.dumps(model), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import need, table
+from .common import need, table, text_batches
 
 # Element identifiers of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -276,6 +276,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             files = [mux([data[i : i + FRAME] for i in range(0, len(data), FRAME)]) for data, _ in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array(files, pa.binary())], names=[id_col, "n_bytes", "media"])
 
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_bytes long, media binary")
 

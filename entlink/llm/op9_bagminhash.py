@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import few, need, stage, table, trim, worker_state
+from .common import few, need, stage, table, text_batches, trim, worker_state
 from .graph import components
 from .words import word_numbers
 
@@ -243,12 +243,13 @@ def near_duplicate_classes(
     once in 20 000; every pair that is met is compared exactly.
     """
     need(docs, [id_col, text_col])
+    text_batches(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(R.NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     seen = Observation()
     sketch = stage(source.mapInArrow(_sketch(words, count, rows), "doc_id long, print binary, bands array<long>").observe(seen, F.count(F.lit(1)).alias("n")), "sketches")
     n = max(1, seen.get["n"])
-    narrow = -(-n * count // 2_000_000)  # files for a row of a few numbers per document and band
-    copies = stage(sketch.where(F.col("print").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "copies", files=-(-n // 100_000))
+    narrow = -(-n * count // 400_000)  # files for a row of a few numbers per document and band
+    copies = stage(sketch.where(F.col("print").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "copies", files=-(-n // 25_000))
     members = copies.select("rep", F.posexplode("bands").alias("band", "key"))
     leaders = members.groupBy("key").agg(F.min("rep").alias("x"), F.count("rep").alias("n")).where("n > 1")
     members = stage(members.join(leaders, "key"), "members", files=narrow)
