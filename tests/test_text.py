@@ -70,3 +70,10 @@ def test_lists_and_views(spark):
 def test_cosine_of_zero_vector(spark):
     df = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
     assert [round(r.c, 6) for r in df.select(V.cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [1, 0]
+
+
+def test_codes_of_trigrams_are_equal_where_the_texts_are(spark):
+    texts = ["abcabd", "a😀b😀c", "ßéà ßé", "😀😀😀", "ab", ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", X.grams(F.col("t")).alias("g")).select("i", "g", X.gram_codes(F.col("g")).alias("c"))
+    for r in df.collect():
+        assert r.c == [(ord(g[0]) << 42) + (ord(g[1]) << 21) + ord(g[2]) for g in r.g] and len(set(r.c)) == len(r.g)
