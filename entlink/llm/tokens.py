@@ -10,6 +10,7 @@ differ from the library's own goes to the library whole:
 
 Of the pieces not yet in the memo, words of Latin letters go straight to the library's merge model,
 since its normalizer and its own cutting leave them as they are; all others go through all of it.
+A word-end vocabulary cuts plain pieces (``a.96@b``) further, so those are put together from their parts.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ _WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
 
 
 _LONG = 64  # characters of a piece that is not kept
+_LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_TAIL = ".,;:!?"
+_PLAIN = re.compile(f"[\x21-\x7e{_LETTER}]+")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")  # how word-end vocabularies cut a plain piece in small letters
+_WORD_END_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class _Memo(dict):
@@ -57,6 +63,7 @@ class Encoder:
         pre, norm = spec.get("pre_tokenizer") or {}, json.dumps(spec.get("normalizer"))
         self.byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm == "null"
         self.word_end = '"Removed"' in json.dumps(pre) and "\\\\s" in norm and "Lowercase" in norm
+        self.by_parts = self.word_end and _WORD_END_CUT in [x.get("pattern", {}).get("Regex") for x in pre.get("pretokenizers", [pre])]
         self.special = tuple(x["content"] for x in spec.get("added_tokens", []))
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = "<u2" if self.code == "H" else "<u4"
@@ -95,8 +102,12 @@ class Encoder:
         if piece.isascii() and piece.isalpha():
             word = piece.lower() if self.word_end else self.space + piece
             return array(self.code, [x.id for x in self.model.tokenize(word if self.word_end else word.translate(self.letters))]).tobytes()
+        if self.word_end and (stem := piece.rstrip(_TAIL)).isascii() and stem.isalpha():
+            return self.memo[stem] + self._mark(piece[len(stem) :])
         line = piece[:1] == "\n"
         if not (m := _WORD.fullmatch(piece, line)):
+            if self.by_parts and len(piece) <= _LONG and _PLAIN.fullmatch(piece):
+                return b"".join([self.memo[x] if x.isalpha() else self._mark(x) for x in _PARTS.findall(piece.lower())])
             return self._whole([piece if line else self.space + piece])[0]
         stem, tail = m.groups()
         if tail and not line:

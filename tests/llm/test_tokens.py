@@ -31,6 +31,18 @@ def test_memo_equals_library(path, corpus):
         assert ids == direct(enc, text), repr(text)
 
 
+def test_plain_odd_pieces_are_put_together_from_parts(monkeypatch):
+    """Of a word-end vocabulary only the runs of marks go through the whole library, not each new piece."""
+    enc, asked, rng = Encoder(WORD), [], random.Random(2)
+    whole = enc._whole
+    monkeypatch.setattr(enc, "_whole", lambda texts: asked.extend(texts) or whole(texts))
+    texts = [" ".join("".join(rng.choice(["a", "Bc", "\xe9", "7", "45", ".", "@", "'s", "'d", "-"]) for _ in range(12)) for _ in range(50)) for _ in range(20)]
+    texts += ["pass'so 'S x's9 't'ts %%% a%b", "x" * 70 + "1" + " a1" * 3]
+    for text, ids in zip(texts, enc.encode(texts), strict=True):
+        assert ids == direct(enc, text), repr(text)
+    assert not [x for x in asked if len(x) <= 64 and any(c.isalpha() for c in x) and x[0] != "'"]
+
+
 @pytest.mark.parametrize(("n", "top"), [(0, 1), (1, 5), (511, 3), (512, 1), (5000, 70_000), (3000, 2**31), (2000, 2)])
 def test_wavelet_matrix(n, top):
     rng = np.random.default_rng(n)
